@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, ship, text_of
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words")
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,11 @@ RULES = (
     Rule(2, "word_length", "(word_chars < 2 * n_words) OR (word_chars > 20 * n_words)"),
     Rule(3, "symbols", "(100 * n_symbols > 25 * n_words)"),
     Rule(4, "repeated_lines", "(100 * n_dup_lines > 30 * n_lines)"),
-    Rule(5, "many_words", "(n_words > 1000000)"),
+    Rule(5, "same_words", "(100 * n_same_words > 30 * n_words)"),
+    Rule(6, "many_words", "(n_words > 1000000)"),
 )
 #: The bits that reject, by policy version. The base policy is the first two rules.
-POLICIES = {"base-1": 0b000011, "production-1": 0b011111, "strict-1": 0b111111}
+POLICIES = {"base-1": 0b0000011, "production-1": 0b0101111, "strict-1": 0b1111111}
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -74,13 +75,18 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         ids += [number.setdefault(w, len(number)) for w in words]
         lines = [x for x in t.split(b"\n") if x.strip()]
         n_lines[i], dup[i] = len(lines), len(lines) - len(set(lines))
+    every = np.array(ids, dtype=np.uint64)
+    same = np.concatenate([[False], every[1:] == every[:-1]])[: len(every)]
+    words_at = np.concatenate([[0], np.cumsum(n_words)])
+    same[words_at[:-1][n_words > 0]] = False  # the first word of a text follows none
     return {
         "n_words": n_words,
         "word_chars": _sums(_LETTER[raw], at),
         "n_symbols": _sums(_SYMBOL[raw], at),
         "n_dup_lines": dup,
-        "n_repeat_words": _repeats(np.array(ids, dtype=np.uint64), n_words),
+        "n_repeat_words": _repeats(every, n_words),
         "n_lines": n_lines,
+        "n_same_words": _sums(same, words_at),
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, curve, quality, warc
+from . import ans, curve, lines, mixing, quality, simhash, vectors, warc
 from .common import table
 
 
@@ -15,6 +15,20 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"), radius=4, k=4, seed=42)
+    return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, max_repeats=2)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.digests(docs, lines.bitmaps(lines.dropped(docs, min_docs=10, min_chars=1, mode="all")))
+
+
 def op7_ans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -24,18 +38,36 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cluster(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
+    "op3_simhash_tiles": op3_simhash_tiles,
+    "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ans_ids": op7_ans_ids,
     "op8_quality_ledger": op8_quality_ledger,
+    "op9_int8_tiles": op9_int8_tiles,
     "op10_warc_segments": op10_warc_segments,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, p, ls[p] AS line, translate(regexp_replace(ls[p], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT l.*, f.k IS NOT NULL AS gone FROM l LEFT JOIN f ON l.k = f.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id""",
     "op8_quality_ledger": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -46,13 +78,24 @@ ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM
        (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(pos.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(pos.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+      len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_words
       FROM w LEFT JOIN pos USING (r) LEFT JOIN ln USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
+            OR 100 * n_symbols > 25 * n_words OR 100 * n_same_words > 30 * n_words) AS kept
 FROM m""",
+    "op9_int8_tiles": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.n),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n), k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.n = e.vec_id LEFT JOIN k ON k.a = e.vec_id""",
     "op10_warc_segments": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 f AS (SELECT page_id, h, CASE WHEN octet_length(encode(h)) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS m FROM p)
