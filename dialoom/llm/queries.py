@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, curve, lines, mixing, quality, simhash, vectors, warc
+from . import ans, curve, lattice, lines, mixing, quality, simhash, vectors, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents"), radius=4, k=4, seed=42)
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
@@ -48,6 +52,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_lattice_lm": op2_lattice_lm,
     "op3_simhash_tiles": op3_simhash_tiles,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,

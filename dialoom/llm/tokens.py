@@ -16,14 +16,22 @@ import re
 
 import numpy as np
 
-MEMO = 400_000
+MEMO = 600_000
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _PIECE = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 
 
+#: Letters for which each vocabulary makes a part of its own: ASCII and Latin-1.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+
+
 class Encoder:
-    """ids(texts) gives little-endian unsigned 16-bit ids as bytes for each text."""
+    """ids(texts) gives little-endian unsigned 16-bit ids as bytes for each text.
+
+    Pieces of letters only are encoded many at a time, as one text in which the ids that end (or begin) a word are
+    known; a letters-only piece with a full stop or comma behind it is two known pieces.
+    """
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,26 +41,80 @@ class Encoder:
         self.model.encode_special_tokens = True
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.pieces = bytes.split if kind == "word" else _PIECE.findall
-        self.whole = kind == "byte"
+        self.word = kind == "word"
+        self.pieces = bytes.split if self.word else _PIECE.findall
+        self.plain = re.compile(_LETTERS if self.word else b" " + _LETTERS).fullmatch
+        self.mark = np.zeros(1 << 16, bool)  # ids that end a word, or begin one with a space
+        for token, i in self.model.get_vocab().items():
+            self.mark[i] = token.endswith("</w>") if self.word else token.startswith("\u0120")
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         out = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in out]
 
+    def _encode_plain(self, pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 64):
+            part = pieces[i : i + 64]
+            ids = np.array(self.model.encode((b" " if self.word else b"").join(part).decode(), add_special_tokens=False).ids, dtype="<u2")
+            at = np.flatnonzero(self.mark[ids])
+            ends = at + 1 if self.word else np.append(at[1:], len(ids))
+            if len(at) != len(part):
+                out += self._encode(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for z in (2 * ends).tolist():
+                out.append(raw[a:z])
+                a = z
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        memo, old = self.memo, self.old
+        if len(memo) > MEMO:
+            self.old = old = memo
+            self.memo = memo = {}
+        plain, joined, rest = set(), [], []
+        for p in new:
+            if (ids := old.get(p)) is not None:
+                memo[p] = ids
+            elif self.plain(p):
+                plain.add(p)
+            elif p[-1:] in (b".", b",") and self.plain(p[:-1]):
+                joined.append(p)
+            else:
+                rest.append(p)
+        for p in joined:
+            if p[:-1] not in memo:
+                if (ids := old.get(p[:-1])) is not None:
+                    memo[p[:-1]] = ids
+                else:
+                    plain.add(p[:-1])
+        if joined:
+            rest += [x for x in (b".", b",") if x not in memo]
+        memo.update(zip(todo := list(plain), self._encode_plain(todo)))
+        for i in range(0, len(rest), 4096):
+            memo.update(zip(part := rest[i : i + 4096], self._encode(part)))
+        for p in joined:
+            memo[p] = memo[p[:-1]] + memo[p[-1:]]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        out, memo = [], self.memo
-        for i in range(0, len(texts), 256):
-            some = texts[i : i + 256]
-            if len(memo) > MEMO:
-                memo.clear()
-            odd = [self.whole and _OTHER_SPACE.search(t) is not None for t in some]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 32):
+            some = texts[i : i + 32]
+            if self.word:
+                # the vocabulary is lower-case; before a combining mark a letter's case can matter
+                some = [t if b"\xcc" in t else t.lower() for t in some]
+            odd = [not self.word and not t.isascii() and _OTHER_SPACE.search(t) is not None for t in some]
             cut = [[] if o else self.pieces(t) for t, o in zip(some, odd)]
-            new = list({p for pieces in cut for p in pieces if p not in memo})
-            for j in range(0, len(new), 4096):
-                memo.update(zip(part := new[j : j + 4096], self._encode(part)))
-            out += [self._encode([t])[0] if o else b"".join(map(memo.__getitem__, pieces)) for t, pieces, o in zip(some, cut, odd)]
+            new = set().union(*cut).difference(self.memo)
+            if new:
+                if len(self.memo) > MEMO:  # all that this batch needs must be at hand
+                    new = set().union(*cut)
+                self._learn(new)
+            get = self.memo.__getitem__
+            out += [self._encode([t])[0] if o else b"".join(map(get, pieces)) for t, pieces, o in zip(some, cut, odd)]
         return out
 
 
