@@ -240,7 +240,8 @@ def digests(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
 
 def apply(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
     """df, all columns, with the lines that go taken out of the text; documents that lose every visible line go, if asked."""
-    at, n = df.columns.index(text_col), len(df.columns)
+    names = df.columns
+    at, n = names.index(text_col), len(names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,10 +252,10 @@ def apply(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str
             text = pa.compute.if_else(whole, pa.scalar(None, pa.string()), text)
             stay = pa.array([not drop_emptied or k is None or bool(t.strip()) for t, k in zip(new, keeps)])
             cols = [text.cast(b.schema.field(at).type) if i == at else b.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(cols, df.columns).filter(stay)
+            yield pa.RecordBatch.from_arrays(cols, names).filter(stay)
 
     i = F.col(id_col)
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     cond = (i.isNotNull() == marks["m_id"]) & (F.coalesce(i.cast("long"), F.lit(0)) == marks["m_doc"]) & (text_hash == marks["m_text"])
-    both = df.join(marks, cond, "left").select(*[df[c] for c in df.columns], marks["keep"].alias("__keep"))
+    both = df.join(marks, cond, "left").select(*[df[c] for c in names], marks["keep"].alias("__keep"))
     return both.mapInArrow(rows, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, curve, lattice, lines, mixing, quality, simhash, vectors, warc
+from . import ans, curve, lattice, licenses, lines, mixing, quality, simhash, vectors, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), k=5, least=0.8)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, max_repeats=2)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_lattice_lm": op2_lattice_lm,
     "op3_simhash_tiles": op3_simhash_tiles,
+    "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_ans_ids": op7_ans_ids,
@@ -62,7 +67,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_segments": op10_warc_segments,
 }
 
+
+def _license_sql() -> str:
+    """Exact containment in every window, without MinHash."""
+    rows = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.NOTICES.items())
+    words = "string_split(trim(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
+    return f"""
+WITH t AS (SELECT license, {words.format("x")} AS w FROM (VALUES {rows}) v(license, x)),
+ts AS (SELECT license, len(w) - 4 AS places, unnest(range(1, len(w) - 3)) AS i, w FROM t),
+tg AS (SELECT DISTINCT license, (2 ** ceil(log2(places)))::INT AS c, array_to_string(w[i:i+4], ' ') AS g FROM ts),
+tn AS (SELECT license, c, count(*) AS shingles FROM tg GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+ds AS (SELECT r, doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)),
+h AS (SELECT r, doc_id, pos, g FROM ds SEMI JOIN tg ON ds.g = tg.g),
+cl AS (SELECT DISTINCT c, greatest(c // 2, 1) AS s, c + greatest(c // 2, 1) - 1 AS wide FROM tg),
+p AS (SELECT r, doc_id, pos, g, c, unnest(range(greatest(0, (floor((pos - wide + s) / s))::INT), pos // s + 1)) AS n FROM h, cl),
+f AS (SELECT r, c, n, min(pos) AS first_word FROM p GROUP BY ALL),
+m AS (SELECT p.r, p.doc_id, p.c, p.n, tg.license, count(DISTINCT p.g) AS matched FROM p JOIN tg ON p.g = tg.g AND p.c = tg.c GROUP BY ALL)
+SELECT m.doc_id, license, max_by(matched, matched * 1e9 - first_word)::BIGINT AS matched, shingles, max_by(first_word, matched * 1e9 - first_word)::BIGINT AS first_word
+FROM m JOIN f USING (r, c, n) JOIN tn USING (license, c) WHERE matched >= 0.8 * shingles GROUP BY m.r, m.doc_id, license, shingles"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_license_scan": _license_sql(),
     "op6_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, p, ls[p] AS line, translate(regexp_replace(ls[p], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
