@@ -1,6 +1,64 @@
-STAGES = []
+"""The corpus pipeline: documents to packed training sequences in five stages.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next one reads
+it. All but the last return the columns of documents; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dialoom.llm import curve, lines, mixing, quality, simhash
+from dialoom.llm.common import stored, table
+
+#: A line goes from its second document on when it has so many characters and stands in so many documents.
+LINE_CHARS, LINE_DOCS = 16, 10
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy rejects go."""
+    return quality.keep(docs, policy="production-1")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines stay where they occur first; a document that loses every visible line goes."""
+    marks = lines.bitmaps(lines.dropped(docs, min_docs=LINE_DOCS, min_chars=LINE_CHARS, mode="first"))
+    left = lines.apply(docs, marks)
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return left.withColumn("n_chars", F.length("text").cast(kind)) if kind else left
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return simhash.representatives(docs, radius=4, k=4)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' target weights take them."""
+    return mixing.apply(docs, weights=(5, 2, 1), budget=1.5, max_repeats=2)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens along the space-filling curve."""
+    return curve.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_duplicates),
+    ("source mix", source_mix),
+    ("packing", packing),
+]
+
+#: The last stage's ids come from a tokenizer, which SQL cannot express; tests/llm compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
