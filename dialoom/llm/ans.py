@@ -2,8 +2,8 @@
 
 One frequency table, counted over all ids, is shared by every block. A block holds whole documents in ascending
 id order and is coded on its own: its ids go round LANES interleaved coders whose 32-bit words share one stream.
-Every STRIDE steps the block keeps a checkpoint (the coders' states and the place in the stream), so a reader can
-decode the stretches between checkpoints side by side; checksums cover the words and the decoded ids.
+Every STRIDE steps there is a checkpoint (the coders' states and the place in the stream) at which coding starts
+anew, so the stretches between checkpoints are coded and decoded side by side; checksums cover the words and the decoded ids.
 
 A data set is a folder with two Parquet tables: ``table`` (one row: scale, ids, frequencies, crc32) and ``blocks``
 (one row a block: number, start, documents, lengths, states, places, words, two crc32). The writers are Spark's, so
@@ -29,7 +29,7 @@ from .common import byte_values, cut, new_path, release, ship, text_of
 from .tokens import encoder
 
 LANES, STRIDE, SCALE, LOW = 256, 256, 20, 1 << 31
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 _WORD, _MASK = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
@@ -62,28 +62,35 @@ class Table:
 
 
 def encode(ids: np.ndarray, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stream's words, and of each checkpoint the coders' states and the place in the stream."""
+    """The stream's words, and of each checkpoint the coders' states and the place in the stream. The stretches between checkpoints are coded side by side."""
     n, s = len(ids), np.uint64(SCALE)
-    steps = -(-n // LANES)
-    x = np.full(LANES, LOW, np.uint64)
+    rows = -(-n // (STRIDE * LANES))
+    grid = np.full(rows * STRIDE * LANES, ids[0] if n else 0, ids.dtype)
+    grid[:n] = ids
+    grid = grid.reshape(rows, STRIDE, LANES)
+    live_end = n - (rows - 1) * STRIDE * LANES  # ids in the last stretch
+    x = np.full((rows, LANES), LOW, np.uint64)
     most = np.uint64(63 - SCALE)
-    out: list[np.ndarray] = []
-    states, used, total = [], [], 0
-    for k in range(steps - 1, -1, -1):
-        sym = ids[k * LANES : (k + 1) * LANES]
-        y, f = x[: len(sym)], t.f[sym]  # a last step may leave lanes idle
-        full = y >= f << most
-        if full.any():
-            out.append((y[full] & _MASK).astype("<u4"))
-            total += len(out[-1])
-            y = np.where(full, y >> _WORD, y)
+    out, of = [], []
+    for k in range(min(STRIDE, -(-n // LANES)) - 1, -1, -1):
+        sym = grid[:, k]
+        f = t.f[sym]
+        full = x >= f << most
+        last = max(0, min(LANES, live_end - k * LANES))
+        full[-1, last:] = False
+        out.append((x[full] & _MASK).astype("<u4"))
+        of.append(full.sum(axis=1))
+        y = np.where(full, x >> _WORD, x)
         q = y // f
-        x[: len(sym)] = (q << s) + (y - q * f) + t.c[sym]
-        if k % STRIDE == 0:
-            states.append(x.copy())
-            used.append(total)
+        y = (q << s) + (y - q * f) + t.c[sym]
+        if last < LANES:
+            y[-1, last:] = x[-1, last:]
+        x = y
+    # each stretch's words in the order in which they are read
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
-    return words, np.array(states[::-1], dtype="<u8").reshape(-1, LANES), total - np.array(used[::-1], dtype="<i8")
+    row = np.concatenate([np.repeat(np.arange(rows), c) for c in of[::-1]]) if out else np.zeros(0, int)
+    places = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])[:rows]
+    return words[np.argsort(row, kind="stable")], x.astype("<u8"), places.astype("<i8")
 
 
 def decode(n: int, words: np.ndarray, states: np.ndarray, places: np.ndarray, t: Table) -> np.ndarray:

@@ -19,6 +19,9 @@ import numpy as np
 MEMO = 600_000
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+_SPACES = b" \t\n\x0b\x0c\r"
+#: White space of a text that does not come as single blanks and line ends.
+_RUNS = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _PIECE = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 
 
@@ -42,14 +45,38 @@ class Encoder:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.word = kind == "word"
-        self.pieces = bytes.split if self.word else _PIECE.findall
-        self.plain = re.compile(_LETTERS if self.word else b" " + _LETTERS).fullmatch
+        self.cut = self._words if self.word else self._spaced
+        self.plain = re.compile(_LETTERS).fullmatch
         self.mark = np.zeros(1 << 16, bool)  # ids that end a word, or begin one with a space
         for token, i in self.model.get_vocab().items():
             self.mark[i] = token.endswith("</w>") if self.word else token.startswith("\u0120")
+        self.stops = dict(zip((b".", b","), self._encode([b".", b","])))
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    # Both give the keys of a text's pieces, and the bytes of ids to drop in front. A key that starts with white
+    # space is its piece; for byte vocabularies any other key stands for itself with one blank in front.
+
+    def _words(self, text: bytes) -> tuple[list[bytes], int]:
+        # the vocabulary is lower-case; before a combining mark a letter's case can matter
+        return (text if b"\xcc" in text else text.lower()).split(), 0
+
+    def _spaced(self, text: bytes) -> tuple[list[bytes] | None, int]:
+        if not text:
+            return [], 0
+        if not text.isascii() and _OTHER_SPACE.search(text):
+            return None, 0
+        if any(x in text for x in _RUNS) or text[:1] in b" \n" or text[-1:] in b" \n":
+            # a line end before a visible character is an id of its own
+            first = text[:1] not in _SPACES
+            return [p[1:] if p[0] == 32 and len(p) > 1 and p[1] not in _SPACES else p for p in _PIECE.findall(b"\n" + text if first else text)], 2 * first
+        keys: list[bytes] = []
+        for line in text.split(b"\n"):
+            words = line.split(b" ")
+            words[0] = b"\n" + words[0]
+            keys += words
+        return keys, 2
+
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         out = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in out]
@@ -58,11 +85,11 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(pieces), 64):
             part = pieces[i : i + 64]
-            ids = np.array(self.model.encode((b" " if self.word else b"").join(part).decode(), add_special_tokens=False).ids, dtype="<u2")
+            ids = np.array(self.model.encode(((b"" if self.word else b" ") + b" ".join(part)).decode(), add_special_tokens=False).ids, dtype="<u2")
             at = np.flatnonzero(self.mark[ids])
             ends = at + 1 if self.word else np.append(at[1:], len(ids))
             if len(at) != len(part):
-                out += self._encode(part)
+                out += self._encode(list(map(self._piece, part)))
                 continue
             raw, a = ids.tobytes(), 0
             for z in (2 * ends).tolist():
@@ -70,6 +97,9 @@ class Encoder:
                 a = z
         return out
 
+    def _piece(self, key: bytes) -> bytes:
+        return key if self.word or key[0] in _SPACES else b" " + key
+
     def _learn(self, new: set[bytes]) -> None:
         memo, old = self.memo, self.old
         if len(memo) > MEMO:
@@ -91,30 +121,26 @@ class Encoder:
                     memo[p[:-1]] = ids
                 else:
                     plain.add(p[:-1])
-        if joined:
-            rest += [x for x in (b".", b",") if x not in memo]
         memo.update(zip(todo := list(plain), self._encode_plain(todo)))
         for i in range(0, len(rest), 4096):
-            memo.update(zip(part := rest[i : i + 4096], self._encode(part)))
+            memo.update(zip(part := rest[i : i + 4096], self._encode(list(map(self._piece, part)))))
         for p in joined:
-            memo[p] = memo[p[:-1]] + memo[p[-1:]]
+            memo[p] = memo[p[:-1]] + self.stops[p[-1:]]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 32):
             some = texts[i : i + 32]
-            if self.word:
-                # the vocabulary is lower-case; before a combining mark a letter's case can matter
-                some = [t if b"\xcc" in t else t.lower() for t in some]
-            odd = [not self.word and not t.isascii() and _OTHER_SPACE.search(t) is not None for t in some]
-            cut = [[] if o else self.pieces(t) for t, o in zip(some, odd)]
-            new = set().union(*cut).difference(self.memo)
-            if new:
-                if len(self.memo) > MEMO:  # all that this batch needs must be at hand
-                    new = set().union(*cut)
-                self._learn(new)
-            get = self.memo.__getitem__
-            out += [self._encode([t])[0] if o else b"".join(map(get, pieces)) for t, pieces, o in zip(some, cut, odd)]
+            keys = [self.cut(t) for t in some]
+            get = self.memo.get
+            got = [list(map(get, k or ())) for k, _ in keys]
+            holes = [[j for j, x in enumerate(g) if x is None] if None in g else () for g in got]
+            if any(holes):
+                self._learn({k[j] for (k, _), at in zip(keys, holes) for j in at})
+                for (k, _), g, at in zip(keys, got, holes):
+                    for j in at:
+                        g[j] = self.memo[k[j]]
+            out += [self._encode([t])[0] if k is None else b"".join(g)[skip:] for t, (k, skip), g in zip(some, keys, got)]
         return out
 
 
