@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .base import ORACLES, QUERIES
+from . import dialogue, events, sampling, scoring, text  # noqa: F401, E402  they register themselves
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "structural_reasons"
