@@ -32,7 +32,7 @@ def read_strict(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
 
 def read_numbered(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """src_file, src_line (from 1, blank lines counted) and row (a struct, null for a bad line). Each file is one task's."""
-    files = spark.read.option("wholetext", True).text(list(paths) if not isinstance(paths, str) else paths)
+    files = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True)
     lines = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("src_file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.where(F.trim("line") != "").select("src_file", (F.col("at") + 1).alias("src_line"), F.from_json("line", schema).alias("row"))
 
