@@ -88,7 +88,25 @@ SELECT m.doc_id, license, max_by(matched, matched * 1e9 - first_word)::BIGINT AS
 FROM m JOIN f USING (r, c, n) JOIN tn USING (license, c) WHERE matched >= 0.8 * shingles GROUP BY m.r, m.doc_id, license, shingles"""
 
 
+#: The mix without histograms: documents in place order, budgets by running sums.
+_MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  ('0x' || left(md5('1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+r AS (SELECT *, 2 * n / w::DOUBLE AS ratio FROM s),
+c AS (SELECT *, sum(2 * n) OVER o - 2 * n AS fixed, sum(w) OVER () - sum(w) OVER o + w AS free FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
+l AS (SELECT (1.5 * (SELECT sum(n) FROM s) - fixed)::DOUBLE AS left_, free::DOUBLE AS free FROM c WHERE 2 * n * free >= (1.5 * (SELECT sum(n) FROM s) - fixed) * w ORDER BY ratio, source NULLS LAST LIMIT 1),
+g AS (SELECT source, n, least(left_ * w / free, (2 * n)::DOUBLE) AS target FROM s, l),
+k AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n)::INT ELSE 0 END AS copies FROM g),
+q AS (SELECT source, place, sum(size) AS size FROM d WHERE size > 0 GROUP BY ALL),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place) AS upto FROM q),
+e AS (SELECT u.source, u.place, u.upto - u.size + CASE WHEN 2 * (target - copies * n - (u.upto - u.size)) >= u.size THEN 0 ELSE u.size END AS before, target - copies * n AS need FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source)
+SELECT d.doc_id, d.size, k.n AS source_size, k.target, d.size * (k.copies + CASE WHEN e.before < e.need AND e.need > 0 AND e.place IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.place = d.place"""
+
+
 ORACLES: dict[str, str] = {
+    "op5_mixing": _MIX_SQL,
     "op4_license_scan": _license_sql(),
     "op6_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
