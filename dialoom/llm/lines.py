@@ -92,6 +92,10 @@ def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool) -
             d[0] = (cols[2][0], cols[3][0], cols[4][0]) != before
         return d
 
+    def is_first(cols: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Rows that are their run's first occurrence; a repeated row has the same document and position."""
+        return np.all([c == c[first] for c in cols[2:6]], axis=0)
+
     def summary(edge: int) -> Iterator[pa.RecordBatch]:
         # the run's first row and the document of its last one
         yield table([np.array([v]) for v in first_row], edge, docs, 0)
@@ -130,7 +134,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool) -
                     yield table(tail, 2)
                 yield from summary(-2)
             elif docs >= min_docs:
-                gone = [c[1:] for c in tail] if first_stays else tail
+                gone = [c[~is_first(tail, np.zeros(len(tail[0]), int))] for c in tail] if first_stays else tail
                 if len(gone[0]):
                     yield table(gone, 0)
             inner = True
@@ -144,7 +148,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool) -
             count = np.bincount(run_of, weights=d, minlength=len(a) - 1)
             drop = count[run_of] >= min_docs
             if first_stays:
-                drop[a[:-1] - a[0]] = False
+                drop[is_first(body, (a[:-1] - a[0])[run_of])] = False
             if not inner:  # the partition's first run
                 own = run_of == 0
                 first_row, docs = tuple(c[0] for c in body), int(count[0])

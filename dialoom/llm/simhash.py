@@ -84,7 +84,7 @@ def _signed(x: int) -> int:
 
 
 def links_in(fps: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints; with side, of those between its two values only."""
+    """Pairs (member, root) for what the links among distinct fingerprints connect; with side, the links between its two values only."""
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     fps = fps[order]
     ones = np.bitwise_count(fps).astype(np.int64)
@@ -141,7 +141,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
 
 def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """a, b: links between the distinct fingerprints fp that connect whatever all links connect."""
+    """a, b: pairs of the distinct fingerprints fp that connect exactly what all links connect (a pair may stand for a chain of links)."""
     ship(distinct.sparkSession)
     n = distinct.count()
     tables = masks(n, radius)
