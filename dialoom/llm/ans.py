@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, new_path, release, ship, text_of
+from .common import byte_values, cut, new_path, release, scratch, ship, text_of
 from .tokens import encoder
 
 LANES, STRIDE, SCALE, LOW = 256, 256, 20, 1 << 31
@@ -237,4 +237,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 def round_trip(df: DataFrame, tokenizer: str, end_id: int, **how: object) -> DataFrame:
     """Write a new data set to the shared folder and read it back."""
     write(df, path := new_path(df.sparkSession, "ids"), tokenizer, end_id, **how)
+    scratch(df.sparkSession, path)
     return read(df.sparkSession, path)

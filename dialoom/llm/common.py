@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  for the operators
+
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split() and bytes.strip()
 #: cut at exactly these, and bytes.lower() changes exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,28 +46,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: columnar, and without the partitioning that df had."""
     df.write.parquet(path := new_path(df.sparkSession, name))
+    scratch(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of results that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_dialoom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="dialoom-")).resolve() / "dialoom_package.zip"
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    sc.addPyFile(str(at))
-    sc._dialoom_shipped = True
-
-
 def byte_values(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

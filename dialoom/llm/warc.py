@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, new_path, ship
+from .common import byte_values, new_path, scratch, ship
 
 SEGMENT, CHUNK, MIN_REVISIT, RECORDS_A_FILE = 1 << 16, 1 << 14, 1000, 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -197,4 +197,5 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 def round_trip(pages: DataFrame) -> DataFrame:
     write(pages, path := new_path(pages.sparkSession, "warc"))
+    scratch(pages.sparkSession, path)
     return read(pages.sparkSession, path)
