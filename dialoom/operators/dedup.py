@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import cut
 
 
 def first_seen(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -57,19 +58,19 @@ def greedy(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFr
     """The rows that a pass in id order keeps, dropping each that is near an earlier kept one; sim_max is the largest
     similarity to an earlier kept row. Rounds until nothing is open: a row without an open or kept earlier neighbour
     stays, neighbours of kept rows go. nodes(id) are all rows that may stay."""
-    open_e = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "similarity").checkpoint()
+    both = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    open_e = cut(both.select("a", "b", "similarity"))
     all_e, kept = open_e, None
-    touched = open_e.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
-    state = touched
+    touched = state = cut(open_e.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     for _ in range(most_rounds):
         if state.isEmpty():
             break
-        free = state.join(open_e.select(F.col("b").alias("id")).distinct(), "id", "left_anti").checkpoint()
-        kept = free if kept is None else kept.unionByName(free).checkpoint()
+        free = cut(state.join(open_e.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        kept = free if kept is None else cut(kept.unionByName(free))
         gone = open_e.join(free.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        state = state.join(free, "id", "left_anti").join(gone, "id", "left_anti").checkpoint()
+        state = cut(state.join(free, "id", "left_anti").join(gone, "id", "left_anti"))
         alive = state.select("id")
-        open_e = open_e.join(alive.select(F.col("id").alias("a")), "a", "left_semi").join(alive.select(F.col("id").alias("b")), "b", "left_semi").checkpoint()
+        open_e = cut(open_e.join(alive.select(F.col("id").alias("a")), "a", "left_semi").join(alive.select(F.col("id").alias("b")), "b", "left_semi"))
     else:
         raise RuntimeError("more rounds needed")
     if kept is None:

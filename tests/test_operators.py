@@ -132,7 +132,6 @@ def test_matching():
 
 
 def test_greedy(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     edges = spark.createDataFrame([(1, 2, 0.7), (2, 3, 0.9), (3, 4, 0.8), (1, 5, 0.6)], "a long, b long, similarity double")
     nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
     got = {r["id"]: (r["kept"], r["sim_max"]) for r in dedup.greedy(edges, nodes).collect()}
