@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401  for the operators
+from ..storage import cut, shared_dir  # noqa: F401
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split() and bytes.strip()
 #: cut at exactly these, and bytes.lower() changes exactly A-Z.
@@ -20,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if at is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="dialoom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage replaced by files in the shared folder; Spark removes them with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dialoom/{name}-{uuid.uuid4().hex}"
 
