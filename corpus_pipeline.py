@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents to packed training sequences in five stages.
+"""The corpus pipeline: documents to packed training sequences in six stages.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next one reads
 it. All but the last return the columns of documents; the last returns the pieces of the packed sequences.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import curve, lines, mixing, quality, simhash
+from dialoom.llm import curve, lines, mixing, overlap, quality, simhash
 from dialoom.llm.common import stored, table
 
 #: A line goes from its second document on when it has so many characters and stands in so many documents.
@@ -35,6 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.representatives(docs, radius=4, k=4)
 
 
+def shared_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the near copies that lie further apart than SimHash's radius, one of each component stays: five words, Jaccard similarity 0.8 or more."""
+    return overlap.representatives(docs, num=4, den=5, k=5)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their sources' target weights take them."""
     return mixing.apply(docs, weights=(5, 2, 1), budget=1.5, max_repeats=2)
@@ -49,6 +54,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
     ("simhash near-dedup", near_duplicates),
+    ("jaccard near-dedup", shared_shingles),
     ("source mix", source_mix),
     ("packing", packing),
 ]
