@@ -24,7 +24,7 @@ r AS (SELECT user_id, step, list(event_type ORDER BY event_id) AS r FROM s WHERE
 j AS (SELECT user_id, step, r, coalesce(r, []) AS r0, coalesce(c, []) AS c0 FROM r FULL OUTER JOIN c USING (user_id, step))
 SELECT user_id, bool_and(r0 = c0) AND count(r) > 0 AS strict, bool_and(list_sort(list_distinct(r0)) = list_sort(list_distinct(c0))) AND count(r) > 0 AS as_set FROM j GROUP BY user_id""")
 def selection_match(t):
-    e = t("events").where("event_id < 3000").select("user_id", F.floor(F.hour("ts") / 6).cast("int").alias("step"), (F.dayofmonth("ts") % 2 == 0).alias("ref"), "event_id", "event_type")
+    e = t("events").select("user_id", F.floor(F.hour("ts") / 6).cast("int").alias("step"), (F.dayofmonth("ts") % 2 == 0).alias("ref"), "event_id", "event_type")
     return scoring.selection(e.where("ref"), e.where("not ref"), "user_id", "step", "event_type", "event_id")
 
 
