@@ -63,7 +63,7 @@ def _gold(t):
     """Orders as gold items, their lines as reference calls, and perturbed copies of the lines as what a model called."""
     name = F.element_at(F.array(*map(F.lit, ("here_route", "tomtom-poi-search", "osrm_route", "other_tool"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     args = lambda q, r: F.to_json(F.struct(F.col(q).alias("quantity"), F.col(r).alias("flag")))
-    li = t("lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("step"), name.alias("name"), args("l_quantity", "l_returnflag").alias("args"), F.to_json(F.struct((F.col("l_quantity") * F.when(F.col("l_partkey") % 2 == 0, 1.01).otherwise(1.1)).alias("quantity"), F.lower("l_returnflag").alias("flag"))).alias("c_args"), (F.col("l_linestatus") == "F").alias("ok"), (F.col("l_partkey") % 5 > 0).alias("called"))
+    li = t("lineitem").select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("step"), name.alias("name"), args("l_quantity", "l_returnflag").alias("args"), F.to_json(F.struct((F.col("l_quantity") * F.when(F.col("l_partkey") % 2 == 0, 1.01).otherwise(1.1)).alias("quantity"), F.lower("l_returnflag").alias("flag"))).alias("c_args"), (F.col("l_linestatus") == "F").alias("ok"), (F.col("l_partkey") % 5 > 0).alias("called"))
     rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("step", "name", "args"))).alias("ref"), F.sort_array(F.collect_list(F.when(F.col("called"), F.struct("step", "name", F.col("c_args").alias("args"), "ok", geo.provider(F.col("name")).alias("provider"))))).alias("calls"), F.collect_set("name").alias("tools"))
     mode = F.when(F.col("l_orderkey") % 10 == 0, "no_tool").when(F.col("l_orderkey") % 10 == 3, "ood").otherwise("tool_use")
     base = rows.select(F.col("l_orderkey").alias("gold_id"), F.when(F.col("l_orderkey") % 2 == 0, "en").otherwise("de").alias("language"), mode.alias("mode"), (mode == "ood").alias("ood"), "tools", "ref", "calls")

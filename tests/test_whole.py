@@ -10,6 +10,8 @@ from test_queries import rows
 #: query: the filter in its SQL, what stands there without it, and the size at which the filter drops rows
 FILTERS = {
     "selection_match": (" WHERE event_id < 3000", "", "sf0.01"),
+    "scored_items": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
+    "score_rollup": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
 }
 
 
@@ -30,3 +32,9 @@ def test_all_rows(spark, name):
     cut, instead, size = FILTERS[name]
     assert registry.ORACLES[name].count(cut) <= 1
     whole(spark, name, registry.ORACLES[name].replace(cut, instead), size)
+
+
+def test_all_orders_reach_providers(spark):
+    """Reference calls of all providers are the lines of all orders."""
+    got = registry.QUERIES["provider_scores"](spark, SF).agg({"ref_calls": "sum"}).first()[0]
+    assert got == spark.read.parquet(f"{SF}/lineitem.parquet").count()
