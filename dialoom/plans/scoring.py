@@ -102,5 +102,5 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.5 E
 def argument_fractions(t):
     f = F.when(F.col("l_partkey") % 2 == 0, 1.01).otherwise(1.1)
     args = lambda q, flag: F.to_json(F.struct(q.alias("quantity"), flag.alias("flag")))
-    li = t("lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", args(F.col("l_quantity"), F.col("l_returnflag")).alias("r"), args(F.col("l_quantity") * f, F.lower("l_returnflag")).alias("c"))
+    li = t("lineitem").select("l_orderkey", "l_linenumber", args(F.col("l_quantity"), F.col("l_returnflag")).alias("r"), args(F.col("l_quantity") * f, F.lower("l_returnflag")).alias("c"))
     return li.select("l_orderkey", "l_linenumber", V.argument_fraction_of("r", "c").alias("frac"))

@@ -10,6 +10,7 @@ from test_queries import rows
 #: query: the filter in its SQL, what stands there without it, and the size at which the filter drops rows
 FILTERS = {
     "selection_match": (" WHERE event_id < 3000", "", "sf0.01"),
+    "argument_fractions": (" WHERE l_orderkey % 4 = 0", "", "sf0.001"),
     "scored_items": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
     "score_rollup": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
 }
