@@ -24,7 +24,7 @@ def transported_calls(t):
 SELECT l_orderkey, l_partkey || '' AS name, round(l_quantity * 1234 / 1000, 1) AS km, round(l_quantity * 77 / 60)::BIGINT AS minutes FROM (
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem WHERE l_orderkey % 5 = 0) WHERE r <= 3""")
 def top_results(t):
-    rows = t("lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"))
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"))
     made = F.transform("x", lambda r: F.struct(r["l_partkey"].cast("string").alias("name"), (r["l_quantity"] * 1234).alias("meters"), (r["l_quantity"] * 77).alias("seconds")))
     return rows.select("l_orderkey", F.explode(building.top_places(made, 3)).alias("r")).select("l_orderkey", "r.name", "r.km", "r.minutes")
 
