@@ -57,7 +57,7 @@ z AS (SELECT lang, count(*) AS n FROM p GROUP BY lang), i AS (SELECT doc_id AS i
 SELECT i.id, i.lang, p.seed_id FROM i JOIN z ON z.lang = i.pool JOIN p ON p.lang = i.pool AND p.rn = ('0x' || left(md5('42:' || i.id), 13))::BIGINT % z.n""")
 def seed_choice(t):
     d = t("documents")
-    return building.pick_seed(d.select(F.col("doc_id").alias("id"), "lang"), d.where("doc_id < 100 and lang <> 'es'").select(F.col("doc_id").alias("seed_id"), "lang"), "lang")
+    return building.pick_seed(d.select(F.col("doc_id").alias("id"), "lang"), d.where("lang <> 'es'").select(F.col("doc_id").alias("seed_id"), "lang"), "lang")
 
 
 @query("""SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL""")
@@ -67,4 +67,4 @@ def category_counts(t):
 
 @query("""SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels""")
 def guard_ids(t):
-    return t("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")).union(t("labels").select("doc_id")).distinct()
+    return t("documents").select(F.col("doc_id").alias("id")).union(t("labels").select("doc_id")).distinct()

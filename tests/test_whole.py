@@ -12,6 +12,8 @@ FILTERS = {
     "selection_match": (" WHERE event_id < 3000", "", "sf0.01"),
     "argument_fractions": (" WHERE l_orderkey % 4 = 0", "", "sf0.001"),
     "top_results": (" WHERE l_orderkey % 5 = 0", "", "sf0.001"),
+    "seed_choice": ("doc_id < 100 AND ", "", "sf0.001"),
+    "guard_ids": (" WHERE doc_id % 2 = 0", "", "sf0.001"),
     "scored_items": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
     "score_rollup": (" WHERE l_orderkey % 3 = 0", "", "sf0.001"),
 }
