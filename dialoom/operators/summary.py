@@ -33,9 +33,10 @@ def reasons(df: DataFrame, by_stage: str = "reasons", cap: int = 110) -> DataFra
 
 
 def histogram(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
-    """bin, n for every whole number from low to high, zero bins kept."""
+    """bin, n for every whole number from low to high, zero bins kept, and as far beyond as there are values."""
     n = df.select(value.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    bins = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("bin"))
+    least, most = n.agg(F.min("bin"), F.max("bin")).first()
+    bins = df.sparkSession.range(min(low, low if least is None else least), max(high, high if most is None else most) + 1).select(F.col("id").cast("int").alias("bin"))
     return bins.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

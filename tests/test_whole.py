@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
+from dialoom.operators import summary
 from dialoom.plans import registry
 from test_queries import rows
 
@@ -42,3 +44,11 @@ def test_all_orders_reach_providers(spark):
     """Reference calls of all providers are the lines of all orders."""
     got = registry.QUERIES["provider_scores"](spark, SF).agg({"ref_calls": "sum"}).first()[0]
     assert got == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_histogram_loses_no_value(spark):
+    got = registry.QUERIES["value_histogram"](spark, SF.replace("sf0.001", "sf0.1")).collect()
+    at = [r["bin"] for r in got]
+    assert sum(r["n"] for r in got) == 100_000 and len(set(at)) == len(at) == max(at) - min(at) + 1 and min(at) == 0 and max(at) == 560
+    low = summary.histogram(spark.createDataFrame([(-2,), (7,)], "v int"), F.col("v"), 0, 5).collect()
+    assert {r["bin"]: r["n"] for r in low} == {b: int(b in (-2, 7)) for b in range(-2, 8)}
