@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, cut, release, ship, stored, text_of
 
-LONGEST, BLOCK_BYTES, ROUNDS, CHUNK = 12, 32 << 20, 3, 8192
+#: Words of up to LONGEST bytes are scored many at a time, longer ones each on its own.
+LONGEST, BLOCK_BYTES, ROUNDS, CHUNK = 64, 32 << 20, 3, 8192
 _P = np.uint64(0x9E3779B97F4A7C15)
 NONE = -1e30
 
@@ -57,7 +58,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     weight: dict[bytes, float] = {}
     for i in ids:
         p = m.id_to_piece(i).replace("▁", "").encode().lower()
-        if 0 < len(p) <= LONGEST:
+        if p:
             weight[p] = weight.get(p, 0.0) + (1 / (10 - scores[i]) if ranks else math.exp(scores[i]))
     least = min(weight.values(), default=1.0)
     for b in range(256):
@@ -72,8 +73,9 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.index, self.logp, self.end = {p: i for i, p in enumerate(pieces)}, np.append(logp[:-1], NONE), float(logp[-1])
+        self.longest = max(map(len, pieces))
         self.by_length = []
-        for k in range(1, LONGEST + 1):
+        for k in range(1, self.longest + 1):
             own = [(self._code(p), i) for p, i in self.index.items() if len(p) == k]
             own.sort()
             self.by_length.append((np.array([c for c, _ in own], dtype=np.uint64), np.array([i for _, i in own], dtype=np.int64)))
@@ -86,10 +88,10 @@ class Lattice:
         return h
 
     def _pieces(self, x: np.ndarray) -> list[np.ndarray]:
-        """For k = 1..LONGEST, the piece (or the dummy behind the last) at each start of (words, length) bytes."""
+        """For each length k from 1, the piece (or the dummy behind the last) at each start of (words, length) bytes."""
         out, h, none = [], np.zeros(x.shape, np.uint64), len(self.logp) - 1
         v = x.astype(np.uint64) + np.uint64(1)
-        for k in range(1, min(LONGEST, x.shape[1]) + 1):
+        for k in range(1, min(self.longest, x.shape[1]) + 1):
             h = h[:, : x.shape[1] - k + 1] * _P + v[:, k - 1 :]
             codes, ids = self.by_length[k - 1]
             if not len(codes):
@@ -112,35 +114,45 @@ class Lattice:
         lp = [self.logp[i] for i in ids]
         fore = [np.zeros(n)]
         for j in range(1, length + 1):
-            fore.append(self._sum([fore[j - k] + lp[k - 1][:, j - k] for k in range(1, min(LONGEST, j) + 1)]))
+            fore.append(self._sum([fore[j - k] + lp[k - 1][:, j - k] for k in range(1, min(self.longest, j) + 1)]))
         if counts is not None:
             back = [np.zeros(n)] * (length + 1)
             for j in range(length - 1, -1, -1):
-                back[j] = self._sum([back[j + k] + lp[k - 1][:, j] for k in range(1, min(LONGEST, length - j) + 1)])
-            for k in range(1, min(LONGEST, length) + 1):
+                back[j] = self._sum([back[j + k] + lp[k - 1][:, j] for k in range(1, min(self.longest, length - j) + 1)])
+            for k in range(1, min(self.longest, length) + 1):
                 for i in range(length - k + 1):
                     use = np.exp(fore[i] + lp[k - 1][:, i] + back[i + k] - fore[length])
                     counts += np.bincount(ids[k - 1][:, i], weights=use, minlength=len(counts))
         return fore[length] + self.end
 
-    def _one(self, w: bytes) -> float:
-        """A long word: the same recursion, one position after the other."""
-        get, lp, fore = self.index.get, self.logp, [0.0]
-        for j in range(1, len(w) + 1):
-            terms = [fore[j - k] + lp[i] for k in range(1, min(LONGEST, j) + 1) if (i := get(w[j - k : j])) is not None]
+    def _one(self, w: bytes, counts: np.ndarray | None = None) -> float:
+        """A long word: the same recursions, one position after the other."""
+        get, lp, length = self.index.get, self.logp, len(w)
+
+        def total(terms: list[float]) -> float:
             most = max(terms)
-            fore.append(most + math.log(sum(math.exp(t - most) for t in terms)))
+            return most + math.log(sum(math.exp(t - most) for t in terms))
+
+        fore = [0.0]
+        for j in range(1, length + 1):
+            fore.append(total([fore[j - k] + lp[i] for k in range(1, min(self.longest, j) + 1) if (i := get(w[j - k : j])) is not None]))
+        if counts is not None:
+            back = [0.0] * (length + 1)
+            for j in range(length - 1, -1, -1):
+                own = [(k, i) for k in range(1, min(self.longest, length - j) + 1) if (i := get(w[j : j + k])) is not None]
+                back[j] = total([back[j + k] + lp[i] for k, i in own])
+                for k, i in own:
+                    counts[i] += math.exp(fore[j] + lp[i] + back[j + k] - fore[length])
         return fore[-1] + self.end
 
     def score(self, words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's marginal probability. Words beyond 64 bytes do not add to counts."""
+        """Natural log of each word's marginal probability. With counts, adds the expected use of each piece to it."""
         out = np.zeros(len(words))
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         for length in np.unique(sizes):
             own = np.flatnonzero(sizes == length)
-            if length > 64:
-                if counts is None:
-                    out[own] = [self._one(words[i]) for i in own]
+            if length > LONGEST:
+                out[own] = [self._one(words[i], counts) for i in own]
                 continue
             for k in range(0, len(own), CHUNK):
                 part = own[k : k + CHUNK]
@@ -226,7 +238,7 @@ def fit(words: DataFrame, pieces: list[bytes], start: np.ndarray, rounds: int =
                 for k in range(0, b.num_rows, 1 << 17):
                     w = b.column(0).slice(k, 1 << 17).to_pylist()
                     model.score(w, n)
-                    total += sum(len(x) <= 64 for x in w)
+                    total += len(w)
             n[-1] = total
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["piece", "n"])
