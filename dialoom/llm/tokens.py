@@ -19,6 +19,8 @@ import numpy as np
 MEMO = 600_000
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+#: What special tokens begin with; the library cuts them out of a text first, so such texts are encoded whole.
+_SPECIAL = b"<|"
 _SPACES = b" \t\n\x0b\x0c\r"
 #: White space of a text that does not come as single blanks and line ends.
 _RUNS = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
@@ -41,7 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        if not all(t.content.startswith(_SPECIAL.decode()) for t in self.model.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens of another form")
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.word = kind == "word"
@@ -54,17 +57,19 @@ class Encoder:
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    # Both give the keys of a text's pieces, and the bytes of ids to drop in front. A key that starts with white
-    # space is its piece; for byte vocabularies any other key stands for itself with one blank in front.
+    # Both give the keys of a text's pieces (none: it is encoded whole), and the bytes of ids to drop in front. A key that
+    # starts with white space is its piece; for byte vocabularies any other key stands for itself with one blank in front.
 
-    def _words(self, text: bytes) -> tuple[list[bytes], int]:
+    def _words(self, text: bytes) -> tuple[list[bytes] | None, int]:
+        if _SPECIAL in text:
+            return None, 0
         # the vocabulary is lower-case; before a combining mark a letter's case can matter
         return (text if b"\xcc" in text else text.lower()).split(), 0
 
     def _spaced(self, text: bytes) -> tuple[list[bytes] | None, int]:
         if not text:
             return [], 0
-        if not text.isascii() and _OTHER_SPACE.search(text):
+        if _SPECIAL in text or not text.isascii() and _OTHER_SPACE.search(text):
             return None, 0
         if any(x in text for x in _RUNS) or text[:1] in b" \n" or text[-1:] in b" \n":
             # a line end before a visible character is an id of its own

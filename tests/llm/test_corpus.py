@@ -28,7 +28,7 @@ def make_texts():
     base = [text(rng.randint(12, 90)) for _ in range(30)]
     near = [b.replace("ka", "lo", 1) for b in base[:6]]
     common = ["Subscribe to our Newsletter today\n" + b for b in base[10:26]]
-    return [None, "", " \n\t\n", "one", "a b c", "　x y　", *base, *near, base[0], base[0], *common, text(20000), "x y " * 60, "%% ## $$ " * 30, "Ωσ ΑΣ <|endoftext|> Å  \n\n\n tail  ", "Released under the MIT License. " + base[3]]
+    return [None, "", " \n\t\n", "one", "a b c", "　x y　", *base, *near, base[0], base[0], *common, text(20000), "x y " * 60, "%% ## $$ " * 30, "Ωσ ΑΣ <|endoftext|> Å  \n\n\n tail  ", "a<|ENDOFTEXT|>b <|startoftext|> c <|x", "a\x1cb \x1f c\u2003d\u00a0 e", "Released under the MIT License. " + base[3]]
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +83,6 @@ def test_quality(docs, rows, empty):
 
 def byte_ids():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -122,7 +121,6 @@ def test_ans_coder():
 
 def test_packing(docs, rows, empty):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, *_ in rows)
     got = curve.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2).collect()
     by = defaultdict(list)
