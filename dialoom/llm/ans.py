@@ -120,7 +120,9 @@ def decode(n: int, words: np.ndarray, states: np.ndarray, places: np.ndarray, t:
 
 
 def _sorted_ids(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens and ids (16-bit, compressed) in ascending id order over range partitions, with the partition's number."""
+    """doc_id, n_tokens and ids (16-bit, compressed) in ascending id order over range partitions, with the partition's number.
+
+    Behind each partition's documents comes one row more, with n_tokens -1: how often the partition has each id (64-bit, compressed)."""
     src = text_of(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), src.rdd.getNumPartitions())
     src = src.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -128,11 +130,17 @@ def _sorted_ids(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: s
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, small = encoder(tokenizer, kind), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u2").tobytes()
+        names, seen = ["doc_id", "n_tokens", "ids"], np.zeros(1 << 16, "<i8")
         for whole in batches:
+            id_kind = whole.column(0).type
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
                 ids = enc.ids(byte_values(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([small.compress(x + end) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                seen += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                seen[end_id] += len(ids)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([small.compress(x + end) for x in ids], pa.binary())], names)
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.array([-1], pa.int64()), pa.array([small.compress(seen.tobytes())], pa.binary())], names)
 
     return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary").withColumn("part", F.spark_partition_id())
 
@@ -150,15 +158,16 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
     release(spark)  # the shuffled texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << 16, np.int64)
+        big = zstandard.ZstdDecompressor()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                n += np.bincount(np.concatenate(_ids(b.column(0).slice(k, 512))), minlength=1 << 16)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["symbol", "n"])
+            for raw in b.column(0).to_pylist():
+                n = np.frombuffer(big.decompress(raw), "<i8")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["symbol", "n"])
 
     # at most one row for each id of the vocabulary
-    counts = done.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    counts = done.where("n_tokens < 0").select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    done = done.where("n_tokens > 0")
     t = Table.counted(np.array([r[0] for r in counts], dtype=np.int64), np.array([r[1] for r in counts], dtype=np.int64))
     raw = [t.symbols.astype("<u4").tobytes(), t.freqs.astype("<u4").tobytes()]
     spark.createDataFrame([(1, SCALE, LANES, STRIDE, *map(bytearray, raw), zlib.crc32(b"".join(raw)))], "version int, scale int, lanes int, stride int, symbols binary, freqs binary, crc32 long").coalesce(1).write.parquet(f"{path}/table")
