@@ -19,6 +19,8 @@ import numpy as np
 MEMO = 600_000
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+#: Bytes of which one or more are in each of them; most texts have none, and need no search for the whole.
+_HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
 #: What special tokens begin with; the library cuts them out of a text first, so such texts are encoded whole.
 _SPECIAL = b"<|"
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -27,15 +29,16 @@ _RUNS = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _PIECE = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 
 
-#: Letters for which each vocabulary makes a part of its own: ASCII and Latin-1.
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: A word of letters for which each vocabulary makes a part of its own (ASCII and Latin-1), a line end in front perhaps,
+#: and ASCII punctuation behind it, which is one more part.
+_WORD = re.compile(rb"(\n?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 class Encoder:
-    """ids(texts) gives little-endian unsigned 16-bit ids as bytes for each text.
+    """ids(texts) gives little-endian unsigned 16-bit ids as bytes for each text, those of the library without special tokens added.
 
-    Pieces of letters only are encoded many at a time, as one text in which the ids that end (or begin) a word are
-    known; a letters-only piece with a full stop or comma behind it is two known pieces.
+    Words are encoded many at a time, as one text in which the ids that end (or begin) a word are known; punctuation
+    behind a word is known by itself.
     """
 
     def __init__(self, path: str, kind: str):
@@ -49,11 +52,12 @@ class Encoder:
             raise ValueError("ids need more than 16 bits")
         self.word = kind == "word"
         self.cut = self._words if self.word else self._spaced
-        self.plain = re.compile(_LETTERS).fullmatch
         self.mark = np.zeros(1 << 16, bool)  # ids that end a word, or begin one with a space
+        self.line = np.zeros(1 << 16, bool)  # ids of a line end
         for token, i in self.model.get_vocab().items():
             self.mark[i] = token.endswith("</w>") if self.word else token.startswith("\u0120")
-        self.stops = dict(zip((b".", b","), self._encode([b".", b","])))
+            self.line[i] = token == "\u010a"
+        self.behind: dict[bytes, bytes] = {b"": b""}
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -69,35 +73,30 @@ class Encoder:
     def _spaced(self, text: bytes) -> tuple[list[bytes] | None, int]:
         if not text:
             return [], 0
-        if _SPECIAL in text or not text.isascii() and _OTHER_SPACE.search(text):
+        if _SPECIAL in text or any(x in text for x in _HINTS) and _OTHER_SPACE.search(text):
             return None, 0
         if any(x in text for x in _RUNS) or text[:1] in b" \n" or text[-1:] in b" \n":
             # a line end before a visible character is an id of its own
             first = text[:1] not in _SPACES
             return [p[1:] if p[0] == 32 and len(p) > 1 and p[1] not in _SPACES else p for p in _PIECE.findall(b"\n" + text if first else text)], 2 * first
-        keys: list[bytes] = []
-        for line in text.split(b"\n"):
-            words = line.split(b" ")
-            words[0] = b"\n" + words[0]
-            keys += words
-        return keys, 2
+        return (b"\n" + text).replace(b"\n", b" \n").split(b" ")[1:], 2
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         out = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in out]
 
-    def _encode_plain(self, pieces: list[bytes]) -> list[bytes]:
+    def _together(self, pieces: list[bytes], between: bytes, mark: np.ndarray, ends: bool) -> list[bytes]:
+        """The ids of each piece. Many pieces, with `between` in front of each, are encoded as one text; in its ids those of `mark` end a piece, or begin one."""
         out: list[bytes] = []
-        for i in range(0, len(pieces), 64):
-            part = pieces[i : i + 64]
-            ids = np.array(self.model.encode(((b"" if self.word else b" ") + b" ".join(part)).decode(), add_special_tokens=False).ids, dtype="<u2")
-            at = np.flatnonzero(self.mark[ids])
-            ends = at + 1 if self.word else np.append(at[1:], len(ids))
+        groups = [pieces[i : i + 64] for i in range(0, len(pieces), 64)]
+        for part, raw in zip(groups, self._encode([between + between.join(g) for g in groups])):
+            ids = np.frombuffer(raw, dtype="<u2")
+            at = np.flatnonzero(mark[ids])
             if len(at) != len(part):
                 out += self._encode(list(map(self._piece, part)))
                 continue
-            raw, a = ids.tobytes(), 0
-            for z in (2 * ends).tolist():
+            a = 0
+            for z in (2 * (at + 1 if ends else np.append(at[1:], len(ids)))).tolist():
                 out.append(raw[a:z])
                 a = z
         return out
@@ -106,46 +105,44 @@ class Encoder:
         return key if self.word or key[0] in _SPACES else b" " + key
 
     def _learn(self, new: set[bytes]) -> None:
+        """Pieces that are not in the memo, into it."""
         memo, old = self.memo, self.old
-        if len(memo) > MEMO:
-            self.old = old = memo
-            self.memo = memo = {}
-        plain, joined, rest = set(), [], []
-        for p in new:
-            if (ids := old.get(p)) is not None:
-                memo[p] = ids
-            elif self.plain(p):
-                plain.add(p)
-            elif p[-1:] in (b".", b",") and self.plain(p[:-1]):
-                joined.append(p)
+        known = new & old.keys()
+        memo.update(zip(known, map(old.__getitem__, known)))
+        words, joined, rest = [], [], []
+        for p in new - known:
+            if p.isalpha():
+                words.append(p)
+            elif m := _WORD.fullmatch(p):
+                joined.append((p, *m.groups()))
             else:
                 rest.append(p)
-        for p in joined:
-            if p[:-1] not in memo:
-                if (ids := old.get(p[:-1])) is not None:
-                    memo[p[:-1]] = ids
-                else:
-                    plain.add(p[:-1])
-        memo.update(zip(todo := list(plain), self._encode_plain(todo)))
-        for i in range(0, len(rest), 4096):
-            memo.update(zip(part := rest[i : i + 4096], self._encode(list(map(self._piece, part)))))
-        for p in joined:
-            memo[p] = memo[p[:-1]] + self.stops[p[-1:]]
+        stems = {stem for _, stem, _ in joined}.difference(words).difference(memo)
+        known = stems & old.keys()
+        memo.update(zip(known, map(old.__getitem__, known)))
+        lines = [p for p in stems - known if p[0] == 10]
+        words += (stems - known).difference(lines)
+        memo.update(zip(words, self._together(words, b" ", self.mark, self.word)))
+        memo.update(zip(lines, self._together(lines, b"", self.line, False)))
+        tails = list({tail for _, _, tail in joined}.difference(self.behind))
+        self.behind.update(zip(tails, self._encode(tails)))
+        for p, stem, tail in joined:
+            memo[p] = memo[stem] + self.behind[tail]
+        if len(self.behind) > MEMO:
+            self.behind = {b"": b""}
+        memo.update(zip(rest, self._encode(list(map(self._piece, rest)))))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 32):
-            some = texts[i : i + 32]
+        for i in range(0, len(texts), 64):
+            some = texts[i : i + 64]
             keys = [self.cut(t) for t in some]
-            get = self.memo.get
-            got = [list(map(get, k or ())) for k, _ in keys]
-            holes = [[j for j, x in enumerate(g) if x is None] if None in g else () for g in got]
-            if any(holes):
-                self._learn({k[j] for (k, _), at in zip(keys, holes) for j in at})
-                for (k, _), g, at in zip(keys, got, holes):
-                    for j in at:
-                        g[j] = self.memo[k[j]]
-            out += [self._encode([t])[0] if k is None else b"".join(g)[skip:] for t, (k, skip), g in zip(some, keys, got)]
+            if len(self.memo) > MEMO:
+                self.old, self.memo = self.memo, {}
+            if new := set().union(*(k for k, _ in keys if k)).difference(self.memo):
+                self._learn(new)
+            of = self.memo.__getitem__
+            out += [self._encode([t])[0] if k is None else b"".join(map(of, k))[skip:] for t, (k, skip) in zip(some, keys)]
         return out
 
 
