@@ -5,9 +5,12 @@ id order and is coded on its own: its ids go round LANES interleaved coders whos
 Every STRIDE steps there is a checkpoint (the coders' states and the place in the stream) at which coding starts
 anew, so the stretches between checkpoints are coded and decoded side by side; checksums cover the words and the decoded ids.
 
-A data set is a folder with two Parquet tables: ``table`` (one row: scale, ids, frequencies, crc32) and ``blocks``
-(one row a block: number, start, documents, lengths, states, places, words, two crc32). The writers are Spark's, so
-the folder may lie in any store that Spark reaches, and a lost task is simply run again.
+Texts are tokenised where they are read; only their compressed ids are dealt by range of document id and sorted.
+
+A data set is a folder with three Parquet tables: ``table`` (one row: scale, ids, frequencies, crc32), ``blocks``
+(one row a block: part, start in the part, documents, lengths, states, places, words, two crc32) and ``parts`` (each
+part's start). The writers are Spark's, so the folder may lie in any store that Spark reaches, and a lost task is
+simply run again.
 
 Defined results: a null or empty text is its end id alone; null ids come first; rows with equal ids follow each
 other, ordered by the text's hash; an empty table gives empty tables. A document is never split, so a block is as
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, new_path, release, scratch, ship, text_of
+from .common import byte_values, new_path, scratch, ship, stored, text_of
 from .tokens import encoder
 
 LANES, STRIDE, SCALE, LOW = 256, 256, 20, 1 << 31
@@ -42,7 +46,7 @@ class Table:
         size = int(symbols.max()) + 1 if len(symbols) else 0
         self.f, self.c = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.f[symbols], self.c[symbols] = freqs, ends - freqs
-        self.of_slot = np.repeat(symbols, freqs).astype(np.uint32)
+        self.of_slot = np.repeat(symbols, freqs).astype(np.uint16)
 
     @classmethod
     def counted(cls, symbols: np.ndarray, counts: np.ndarray) -> Table:
@@ -119,18 +123,14 @@ def decode(n: int, words: np.ndarray, states: np.ndarray, places: np.ndarray, t:
     return out.reshape(-1)[:n]
 
 
-def _sorted_ids(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens and ids (16-bit, compressed) in ascending id order over range partitions, with the partition's number.
-
-    Behind each partition's documents comes one row more, with n_tokens -1: how often the partition has each id (64-bit, compressed)."""
+def _tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tie (a hash of the text) and ids (16-bit, compressed) of each row, and one row more for each partition: how often it has each id (seen: 64-bit, compressed)."""
     src = text_of(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), src.rdd.getNumPartitions())
-    src = src.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, small = encoder(tokenizer, kind), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u2").tobytes()
-        names, seen = ["doc_id", "n_tokens", "ids"], np.zeros(1 << 16, "<i8")
+        names, seen = ["doc_id", "tie", "ids", "seen"], np.zeros(1 << 16, "<i8")
         for whole in batches:
             id_kind = whole.column(0).type
             for k in range(0, whole.num_rows, 512):
@@ -138,11 +138,11 @@ def _sorted_ids(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: s
                 ids = enc.ids(byte_values(b.column(1)))
                 seen += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
                 seen[end_id] += len(ids)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([small.compress(x + end) for x in ids], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([small.compress(x + end) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.array([-1], pa.int64()), pa.array([small.compress(seen.tobytes())], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([small.compress(seen.tobytes())], pa.binary())], names)
 
-    return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary").withColumn("part", F.spark_partition_id())
+    return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tie long, ids binary, seen binary")
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
@@ -154,8 +154,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
     """Encode every text and write the data set."""
     spark = df.sparkSession
     ship(spark)
-    done = cut(_sorted_ids(df, tokenizer, kind, end_id, id_col, text_col))
-    release(spark)  # the shuffled texts
+    done = stored(_tokenised(df, tokenizer, kind, end_id, id_col, text_col), "ids-tokens", packed=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = zstandard.ZstdDecompressor()
@@ -166,39 +165,30 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["symbol", "n"])
 
     # at most one row for each id of the vocabulary
-    counts = done.where("n_tokens < 0").select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
-    done = done.where("n_tokens > 0")
+    counts = done.where("seen is not null").select("seen").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     t = Table.counted(np.array([r[0] for r in counts], dtype=np.int64), np.array([r[1] for r in counts], dtype=np.int64))
     raw = [t.symbols.astype("<u4").tobytes(), t.freqs.astype("<u4").tobytes()]
     spark.createDataFrame([(1, SCALE, LANES, STRIDE, *map(bytearray, raw), zlib.crc32(b"".join(raw)))], "version int, scale int, lanes int, stride int, symbols binary, freqs binary, crc32 long").coalesce(1).write.parquet(f"{path}/table")
-    # one row for each partition
-    sums = sorted((r[0], r[1]) for r in done.groupBy("part").agg(F.sum("n_tokens")).collect())
-    first, start = {}, 0
-    for part, n in sums:
-        first[part], start = start, start + n
-    shared = spark.sparkContext.broadcast((t.symbols, t.freqs, first))
+    shared = spark.sparkContext.broadcast((t.symbols, t.freqs))
     id_type = done.schema["doc_id"].dataType.simpleString()
-    names = ["start", "n_ids", "doc_ids", "doc_lens", "states", "places", "words", "words_crc32", "ids_crc32"]
+    names = ["part", "start", "n_ids", "doc_ids", "doc_lens", "states", "places", "words", "words_crc32", "ids_crc32"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, freqs, firsts = shared.value
-        t = Table(symbols, freqs)
-        docs, held, size, at = [], [], 0, None
+        t, part = Table(*shared.value), TaskContext.get().partitionId()
+        docs, held, size, at = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
             nonlocal docs, held, size, at
             ids = np.concatenate(held)
             words, states, places = encode(ids, t)
             raw = words.tobytes()
-            row = [at, len(ids), docs, [len(x) for x in held], states.tobytes(), places.tobytes(), raw, zlib.crc32(raw), zlib.crc32(ids.astype("<u4").tobytes())]
+            row = [part, at, len(ids), docs, [len(x) for x in held], states.tobytes(), places.tobytes(), raw, zlib.crc32(raw), zlib.crc32(ids.astype("<u4").tobytes())]
             at, docs, held, size = at + len(ids), [], [], 0
-            kinds = [pa.int64(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for b in batches:
             id_kind = b.column(0).type
-            if at is None and b.num_rows:
-                at = firsts[b.column(2)[0].as_py()]
             for k in range(0, b.num_rows, 512):
                 for doc, ids in zip(b.column(0).slice(k, 512).to_pylist(), _ids(b.column(1).slice(k, 512))):
                     docs.append(doc)
@@ -209,7 +199,13 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
         if held:
             yield block()
 
-    done.select("doc_id", "ids", "part").mapInArrow(blocks, f"start long, n_ids long, doc_ids array<{id_type}>, doc_lens array<long>, states binary, places binary, words binary, words_crc32 long, ids_crc32 long").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), done.rdd.getNumPartitions())
+    along = done.where("seen is null").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    along.mapInArrow(blocks, f"part int, start long, n_ids long, doc_ids array<{id_type}>, doc_lens array<long>, states binary, places binary, words binary, words_crc32 long, ids_crc32 long").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # one row for each part
+    sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums.select("part", before.alias("start")).coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -218,12 +214,13 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     one = spark.read.parquet(f"{path}/table").first()
     if zlib.crc32(bytes(one["symbols"]) + bytes(one["freqs"])) != one["crc32"] or (one["scale"], one["lanes"], one["stride"]) != (SCALE, LANES, STRIDE):
         raise ValueError(f"{path}: the frequency table is damaged or of another version")
-    shared = spark.sparkContext.broadcast((bytes(one["symbols"]), bytes(one["freqs"])))
+    # as long as the vocabulary, and a number for each part
+    shared = spark.sparkContext.broadcast((bytes(one["symbols"]), bytes(one["freqs"]), {r[0]: r[1] for r in spark.read.parquet(f"{path}/parts").collect()}))
     src = spark.read.parquet(f"{path}/blocks")
     id_type = src.schema["doc_ids"].dataType.elementType.simpleString()
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, freqs = shared.value
+        symbols, freqs, first = shared.value
         t = Table(np.frombuffer(symbols, "<u4").astype(np.int64), np.frombuffer(freqs, "<u4").astype(np.int64))
         for b in batches:
             for k in range(b.num_rows):
@@ -235,7 +232,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     raise ValueError(f"block at {r['start']}: its ids are damaged")
                 ends = np.cumsum(r["doc_lens"])
                 each = np.split(ids, ends[:-1])
-                cols = [pa.array(r["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array(r["start"] + ends - r["doc_lens"]), pa.array(r["doc_lens"], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                cols = [pa.array(r["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array(first[r["part"]] + r["start"] + ends - r["doc_lens"]), pa.array(r["doc_lens"], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([x.tolist() for x in each], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])

@@ -24,9 +24,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dialoom/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: columnar, and without the partitioning that df had."""
-    df.write.parquet(path := new_path(df.sparkSession, name))
+def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: columnar, and without the partitioning that df had. packed: its bytes are compressed already."""
+    df.write.options(**{"compression": "uncompressed"} if packed else {}).parquet(path := new_path(df.sparkSession, name))
     scratch(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

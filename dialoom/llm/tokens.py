@@ -16,7 +16,8 @@ import re
 
 import numpy as np
 
-MEMO = 600_000
+#: Pieces in each of a memo's two generations.
+MEMO = {"byte": 900_000, "word": 450_000}
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes of which one or more are in each of them; most texts have none, and need no search for the whole.
@@ -32,6 +33,7 @@ _PIECE = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+"
 #: A word of letters for which each vocabulary makes a part of its own (ASCII and Latin-1), a line end in front perhaps,
 #: and ASCII punctuation behind it, which is one more part.
 _WORD = re.compile(rb"(\n?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+_BEHIND = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Encoder:
@@ -50,7 +52,7 @@ class Encoder:
             raise ValueError("special tokens of another form")
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.word = kind == "word"
+        self.word, self.most = kind == "word", MEMO[kind]
         self.cut = self._words if self.word else self._spaced
         self.mark = np.zeros(1 << 16, bool)  # ids that end a word, or begin one with a space
         self.line = np.zeros(1 << 16, bool)  # ids of a line end
@@ -113,6 +115,8 @@ class Encoder:
         for p in new - known:
             if p.isalpha():
                 words.append(p)
+            elif (stem := p.rstrip(_BEHIND)).isalpha():
+                joined.append((p, stem, p[len(stem) :]))
             elif m := _WORD.fullmatch(p):
                 joined.append((p, *m.groups()))
             else:
@@ -128,7 +132,7 @@ class Encoder:
         self.behind.update(zip(tails, self._encode(tails)))
         for p, stem, tail in joined:
             memo[p] = memo[stem] + self.behind[tail]
-        if len(self.behind) > MEMO:
+        if len(self.behind) > self.most:
             self.behind = {b"": b""}
         memo.update(zip(rest, self._encode(list(map(self._piece, rest)))))
 
@@ -137,7 +141,7 @@ class Encoder:
         for i in range(0, len(texts), 64):
             some = texts[i : i + 64]
             keys = [self.cut(t) for t in some]
-            if len(self.memo) > MEMO:
+            if len(self.memo) > self.most:
                 self.old, self.memo = self.memo, {}
             if new := set().union(*(k for k, _ in keys if k)).difference(self.memo):
                 self._learn(new)
