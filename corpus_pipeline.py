@@ -1,7 +1,11 @@
-"""The corpus pipeline: documents to packed training sequences in six stages.
+"""The corpus pipeline: documents to packed training sequences in five stages.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next one reads
 it. All but the last return the columns of documents; the last returns the pieces of the packed sequences.
+
+Defined results, for every stage: a null text counts as empty; nulls in other columns are passed on; extra columns of
+any name stay as they are; an empty table gives an empty table; texts are read whole, of any length. What a stage does
+with ties and repeated rows is said with it.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ LINE_CHARS, LINE_DOCS = 16, 10
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go."""
+    """Documents that the production policy rejects go, by a stored ledger; null and empty texts are among them. Repeated rows are judged alike."""
     return quality.keep(docs, policy="production-1")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines stay where they occur first; a document that loses every visible line goes."""
+    """Frequent lines stay where they occur first (smallest id, then position); a document that loses every visible line goes. Repeated rows of equal id and text are one document to the count and lose the same lines."""
     marks = lines.bitmaps(lines.dropped(docs, min_docs=LINE_DOCS, min_chars=LINE_CHARS, mode="first"))
     left = lines.apply(docs, marks)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
@@ -31,22 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.representatives(docs, radius=4, k=4)
-
+    """One document of each group of near copies stays: the smallest id, null last, then the smallest hash of the text; repeated rows are one.
 
-def shared_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the near copies that lie further apart than SimHash's radius, one of each component stays: five words, Jaccard similarity 0.8 or more."""
-    return overlap.representatives(docs, num=4, den=5, k=5)
+    SimHash of five-word shingles links what differs in four bits or less. Near copies are often further apart, so among the
+    documents left the five-word shingle sets themselves are compared: whatever has a Jaccard similarity of 0.8 or more is linked."""
+    left = stored(simhash.representatives(docs, radius=4, k=5), "near-simhash")
+    return overlap.representatives(left, num=4, den=5, k=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their sources' target weights take them."""
+    """Documents as often as their sources' target weights take them, up to twice; ties in the hash order are taken together, and so are rows equal in id and text. A null source is a source."""
     return mixing.apply(docs, weights=(5, 2, 1), budget=1.5, max_repeats=2)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens along the space-filling curve."""
+    """Pieces of sequences of 4096 tokens along the space-filling curve; ties by id, and every repeated row is packed."""
     return curve.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
@@ -54,7 +57,6 @@ STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
     ("simhash near-dedup", near_duplicates),
-    ("jaccard near-dedup", shared_shingles),
     ("source mix", source_mix),
     ("packing", packing),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401  for the operators
@@ -48,6 +48,32 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_hash(text: Column) -> Column:
+    """Of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def id_key(doc: Column) -> Column:
+    """An id of any type as text that is never null, by which ids can be joined; null is an id of its own."""
+    return F.coalesce(F.concat(F.lit("i"), doc.cast("string")), F.lit("n"))
+
+
+def one_row_each(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of df, all columns, one row for each (id, hash: a text's hash) of kept. Texts are shuffled once: both steps deal by the same keys."""
+    h, i = unused(df, "text_hash"), unused(df, "id_key")
+    src = df.withColumns({h: text_hash(df[text_col]), i: id_key(df[id_col])})
+    keys = kept.select(F.col("hash").alias("k_hash"), id_key(F.col("id")).alias("k_id"))
+    return src.join(keys, (src[h] == keys["k_hash"]) & (src[i] == keys["k_id"]), "left_semi").dropDuplicates([h, i]).drop(h, i)
+
+
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under names that no extra column can clash with."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,13 +1,21 @@
-"""Near-duplicates by what their word shingles share: every pair at or above a Jaccard similarity, exactly.
+"""Near-duplicates by what their word shingles share: what all pairs at or above a Jaccard similarity connect, exactly.
 
-In any one order of all shingles, two sets of similarity t share one of their first n - ceil(t n) + 1, so only these
-prefixes are joined. What two prefixes share, and the rest of the set whose prefix ends first, bound what the sets
-share; pairs that this rules out go, the others are counted in full. The order is that of the hashes, with the
-shingles that most prefixes have in common put last, so that a passage found in many documents makes few candidates.
-Any such list gives the same result, so it is taken from a sample; its length is bounded.
+In any one order of all shingles, two sets of similarity t share one of their first n - ceil(t n) + 1, so only texts
+that meet in these prefixes are compared. The order is that of the hashes, with the shingles that most prefixes have in
+common put last, so that a passage found in many documents makes few candidates. Any such list gives the same result,
+so it is taken from a sample; its length is bounded.
+
+A large group of near copies meets in each of its shingles, and all its pairs would be the square of its size. So at
+first each text is compared with one other at a shingle, the first in an order by hash (twice, with two orders). Then
+only pairs that these links have not connected yet are left: at shingles where texts of several components meet, those
+from different ones. What two prefixes share, and the rest of the set whose prefix ends first, bound what the sets
+share; pairs that this rules out go, the others are counted in full. Nothing is left out, so the components are those
+of all pairs.
 
 Defined results: words and letter case are those of SimHash; fewer words than a shingle make one shingle; texts without
-words have no shingles and are near to nothing but their exact copies. DataFrame operations only.
+words have no shingles and are near to nothing but their exact copies; repeated rows are one; of ties the smallest id,
+then the smallest text hash stays; null ids come last; extra columns of any name are left as they are; an empty table
+gives an empty table. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -15,9 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import one_row_each, stored, text_hash
 from .components import components
-from .simhash import _hash
 
 #: Shingles put last in the order, of those that are in more than so many prefixes of one text in SAMPLE.
 COMMON, COMMON_DOCS, SAMPLE = 2000, 12, 8
@@ -35,7 +42,7 @@ def shingles(text: Column, k: int = 5) -> Column:
 
 def sets(df: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
     """h (the text's hash) and its shingles s, a row for each row of df."""
-    return df.select(_hash(df[text_col]).alias("h"), shingles(F.coalesce(df[text_col].cast("string"), F.lit("")), k).alias("s"))
+    return df.select(text_hash(df[text_col]).alias("h"), shingles(F.coalesce(df[text_col].cast("string"), F.lit("")), k).alias("s"))
 
 
 def _prefix(s: DataFrame, num: int, den: int) -> DataFrame:
@@ -46,43 +53,62 @@ def _prefix(s: DataFrame, num: int, den: int) -> DataFrame:
     return s.select("h", n.alias("n"), F.explode_outer(first).alias("g")).where("g is not null")
 
 
-def candidates(df: DataFrame, num: int, den: int, k: int, text_col: str, common_docs: int, sample: int) -> DataFrame:
-    """a < b: all pairs of text hashes that may be near, and few others."""
-    part = df.where(F.pmod(_hash(df[text_col]), F.lit(sample)) == 0)
+def _met(df: DataFrame, num: int, den: int, k: int, text_col: str, common_docs: int, sample: int) -> DataFrame:
+    """g, h, n: the shingles of prefixes in which several texts meet; n is the size of h's set."""
+    part = df.where(F.pmod(text_hash(df[text_col]), F.lit(sample)) == 0)
     seen = _prefix(sets(part, k, text_col).select("h", F.col("s").alias("o")), num, den).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > common_docs)
-    common = seen.orderBy(F.desc("n"), "g").limit(COMMON).agg(F.collect_list("g").alias("common"))
-    last = F.concat(F.array_except("s", "common"), F.array_intersect("s", "common"))
-    rows = _prefix(sets(df, k, text_col).crossJoin(F.broadcast(cut(common))).select("h", last.alias("o")), num, den)
+    # COMMON numbers at most, one literal of the plan
+    common = F.from_json(F.lit(str([r[0] for r in seen.orderBy(F.desc("n"), "g").limit(COMMON).collect()])), "array<bigint>")
+    last = F.concat(F.array_except("s", common), F.array_intersect("s", common))
+    rows = _prefix(sets(df, k, text_col).select("h", last.alias("o")), num, den)
     # most shingles are in one prefix only
     met = rows.withColumn("in", F.count("*").over(Window.partitionBy("g"))).where("in > 1").drop("in")
-    met = stored(met, "overlap-met")
-    side = lambda x: met.select("g", F.col("h").alias(x), F.col("n").alias(f"n{x}"))
-    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    # repeated rows are counted more than once, which only leaves more candidates
-    both = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    # the longer set has ceil(n num / den) - 1 shingles after its prefix, the shorter one no more
-    after = F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
-    return both.where((F.col("c") + after) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    return stored(met.dropDuplicates(["g", "h"]), "overlap-met")
 
 
-def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str = "text", common_docs: int = COMMON_DOCS, sample: int = SAMPLE) -> DataFrame:
-    """a < b, shared, na, nb: all pairs of text hashes whose shingle sets have a Jaccard similarity of num / den or more."""
-    pairs = stored(candidates(df, num, den, k, text_col, common_docs, sample), "overlap-candidates")
+def _alike(num: int, den: int) -> Column:
+    """Sizes na and nb that sets of the similarity can have."""
+    return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+
+
+def _counted(pairs: DataFrame, df: DataFrame, num: int, den: int, k: int, text_col: str) -> DataFrame:
+    """a and b of the pairs whose sets have the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    texts = df.withColumn("__h", _hash(df[text_col])).join(wanted, F.col("__h") == F.col("x"), "left_semi").dropDuplicates(["__h"])
-    whole = stored(sets(texts, k, text_col), "overlap-sets")
+    texts = df.select(text_hash(df[text_col]).alias("h"), df[text_col].cast("string").alias("t")).join(wanted, F.col("h") == F.col("x"), "left_semi").dropDuplicates(["h"])
+    whole = stored(texts.select("h", shingles(F.coalesce("t", F.lit("")), k).alias("s")), "overlap-sets")
     both = pairs.join(whole.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    return counted.where(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
+
+
+def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str = "text", common_docs: int = COMMON_DOCS, sample: int = SAMPLE) -> DataFrame:
+    """a, b: pairs of text hashes whose shingle sets have a Jaccard similarity of num / den or more, as many as connect all that such pairs connect."""
+    met = _met(df, num, den, k, text_col, common_docs, sample)
+    found = root = None
+    for order in (1, 2):
+        first = met.groupBy("g").agg(F.min_by(F.struct("h", "n"), F.xxhash64(F.lit(order), "h")).alias("f")).select(F.col("g").alias("fg"), F.col("f.h").alias("b"), F.col("f.n").alias("nb"))
+        pairs = met.join(first, F.col("g") == F.col("fg")).select(F.col("h").alias("a"), "b", F.col("n").alias("na"), "nb").where(_alike(num, den)).where("a <> b").select("a", "b").distinct()
+        if root is not None:
+            own = lambda x: root.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))  # noqa: E731, B023
+            pairs = pairs.join(own("a"), F.col("a") == F.col("na"), "left").join(own("b"), F.col("b") == F.col("nb"), "left").where("not coalesce(ra, a) = coalesce(rb, b)").select("a", "b")
+        new = _counted(stored(pairs, "overlap-first"), df, num, den, k, text_col)
+        found = stored(new if found is None else found.unionByName(new), "overlap-links")
+        root = components(found)
+    named = met.join(root, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("root", "h").alias("r"))
+    several = named.groupBy("g").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select(F.col("g").alias("sg"))
+    rest = stored(named.join(several, F.col("g") == F.col("sg"), "left_semi"), "overlap-rest")
+    side = lambda x: rest.select("g", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
+    both = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(num, den)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # the longer set has ceil(n num / den) - 1 shingles after its prefix, the shorter one no more
+    after = F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
+    last = stored(both.where((F.col("c") + after) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "overlap-last")
+    return found.unionByName(_counted(last, df, num, den, k, text_col))
 
 
 def representatives(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df, all columns, one row of each component of near texts: that with the smallest id (null last), then the smallest text hash."""
-    root = components(links(df, num, den, k, text_col).select("a", "b"))
-    src = df.withColumn("__text_hash", _hash(df[text_col]))
-    named = src.select(F.col(id_col).alias("id"), "__text_hash").join(root, F.col("__text_hash") == F.col("node"), "left")
-    key = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("__text_hash").alias("h"))
-    best = named.groupBy(F.coalesce("root", "__text_hash").alias("r")).agg(F.min(key).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__hash"))
-    best = stored(best, "overlap-kept")
-    kept = src.join(best, src[id_col].eqNullSafe(best["__id"]) & (src["__text_hash"] == best["__hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    root = components(links(df, num, den, k, text_col))
+    named = df.select(df[id_col].alias("id"), text_hash(df[text_col]).alias("h")).join(root, F.col("h") == F.col("node"), "left")
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    best = named.groupBy(F.coalesce("root", "h").alias("r")).agg(F.min(key).alias("best")).select("best.id", F.col("best.h").alias("hash"))
+    return one_row_each(df, stored(best, "overlap-kept"), id_col, text_col)

@@ -10,7 +10,7 @@ pair. Each comparison returns only a spanning forest of the links it found, neve
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other;
 fewer words than a shingle make one shingle; exact copies and repeated rows meet as one fingerprint; ties in the
 smallest id do not matter; null ids are linked but never the name of a component unless it has no other id; an
-empty table gives an empty table. Texts are read whole.
+empty table gives an empty table; extra columns of any name are left as they are. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, ship, stored, text_of
+from .common import byte_values, cut, one_row_each, ship, stored, text_hash, text_of
 from .components import components, forest
 
 TILE = 4096
@@ -59,14 +59,10 @@ def fingerprints(df: DataFrame, k: int = 4, seed: int = 42, id_col: str = "doc_i
                 fp = np.array([fingerprint(t, k, seed) for t in byte_values(b.column(1))], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    src = text_of(df, id_col, text_col).withColumn("text_hash", _hash("text"))
+    src = text_of(df, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
     return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
-def _hash(text: str | Column) -> Column:
-    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
-
-
 def masks(n: int, radius: int, group: int = 2048) -> list[int]:
     """64-bit masks, one for each table: for n fingerprints, the fewest blocks whose groups hold about `group` or less. Any choice is exact."""
     for extra in range(1, 5):
@@ -180,11 +176,8 @@ def representatives(df: DataFrame, radius: int = 4, k: int = 4, seed: int = 42,
     """df, all columns, one row of each component: that with the smallest id (null last), then the smallest text hash."""
     rows = cluster(df, radius, k, seed, id_col, text_col)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash")
-    best = rows.groupBy("root").agg(F.min(key).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.text_hash").alias("__hash"))
-    best = stored(best, "simhash-kept")
-    src = df.withColumn("__text_hash", _hash(df[text_col]))
-    kept = src.join(best, src[id_col].eqNullSafe(best["__id"]) & (src["__text_hash"] == best["__hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    best = rows.groupBy("root").agg(F.min(key).alias("best")).select("best.id", F.col("best.text_hash").alias("hash"))
+    return one_row_each(df, stored(best, "simhash-kept"), id_col, text_col)
 
 
 def hexed(fp: str) -> Column:

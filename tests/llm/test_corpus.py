@@ -273,13 +273,13 @@ def brute_components(n, near):
     return [find(i) for i in range(n)]
 
 
-def brute_print(t):
+def brute_print(t, k=4):
     import xxhash
 
     words = WORD.findall(raw(t).lower())
     if not words:
         return 0
-    hs = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    hs = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))]
     return sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64))
 
 
@@ -424,15 +424,38 @@ def test_pipeline(spark, docs, rows):
             want = brute_lines([tuple(r[:4]) for r in before], 10, "first", 16)
             assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in after) == Counter((r["doc_id"], x, len(x)) for r in before if (x := b"\n".join(want[r["doc_id"], r["text"]][1]).decode()).strip())
         if check == 2:
-            fps = [brute_print(r["text"]) for r in before]
+            before.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+            fps = [brute_print(r["text"], 5) for r in before]
             root = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
-            assert sorted(brute_print(r["text"]) in fps for r in after) == [True] * len(set(root))
+            left = [before[i] for i in sorted(set(root))]
+            sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(WORD.findall(raw(r["text"]).lower())) for r in left]
+            root = brute_components(len(left), lambda i, j: 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])))
+            assert Counter((r["doc_id"], r["text"]) for r in after) == Counter((left[i]["doc_id"], left[i]["text"]) for i in set(root))
         if check == 3:
             assert {r["text"] for r in after} <= {r["text"] for r in before} and max(Counter(r["doc_id"] for r in after).values()) <= 2
     pieces = corpus_pipeline.STAGES[-1][1](spark, keep, "").collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in keep.collect()}
 
 
+def test_pipeline_of_nothing(empty, spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_run(spark):
+    """Every piece is of a document of the table, and copies and rejected documents are gone."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert len(corpus_pipeline.STAGES) == 5
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert got and {r["doc_id"] for r in got} <= {i for i, t in docs.items() if (lambda m: m[0] >= 10 and 5 * m[4] <= m[0])(brute_measure(t))}
+    by = defaultdict(int)
+    for r in got:
+        by[r["sequence_id"]] += r["length"]
+    assert all(n == 4096 or n & (n - 1) == 0 for n in by.values())
+
+
 def test_registered():
     assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(queries.ORACLES) <= set(queries.QUERIES)

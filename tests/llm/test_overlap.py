@@ -1,10 +1,13 @@
 """Near-duplicates by shared shingles against all pairs in plain Python."""
 
+import numpy as np
 from conftest import SF
+from pyspark.sql import functions as F
 from test_corpus import brute_components, docs, empty, raw, rows  # noqa: F401
 
 import corpus_pipeline
-from dialoom.llm import overlap
+from dialoom.llm import components, overlap
+from dialoom.llm.common import text_hash
 
 
 def grams(t):
@@ -31,12 +34,19 @@ def test_representatives(docs, rows, empty):  # noqa: F811
 
 
 def test_links_of_documents(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet").repartition(4)
-    g = {r["h"]: grams(r["text"]) for r in df.select(overlap._hash("text").alias("h"), "text").collect()}
+    """Links are links, and connect what all links connect; with a group of near copies that are not all near each other."""
+    base = [f"v{i}" for i in range(120)]
+    chain = [(10**6 + i, " ".join([*(f"x{i}.{j}" for j in range(3 * (i % 7))), *base[i % 11 :], f"y{i}"])) for i in range(60)]
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(chain, "doc_id long, text string")).repartition(4)
+    g = {r["h"]: grams(r["text"]) for r in df.select(text_hash(F.col("text")).alias("h"), "text").collect()}
     ids = sorted(g)
-    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(g[a], g[b])}
+    at = {h: i for i, h in enumerate(ids)}
+    want = brute_components(len(ids), lambda i, j: near(g[ids[i]], g[ids[j]]))
+    assert len(set(want)) < len(ids) - 40
     for common_docs, sample in ((overlap.COMMON_DOCS, overlap.SAMPLE), (2, 1)):
-        assert {(r["a"], r["b"]) for r in overlap.links(df, common_docs=common_docs, sample=sample).collect()} == want and want
+        e = [(r["a"], r["b"]) for r in overlap.links(df, common_docs=common_docs, sample=sample).collect()]
+        assert all(near(g[a], g[b]) for a, b in e)
+        assert components.forest(len(ids), np.array([at[a] for a, _ in e]), np.array([at[b] for _, b in e])).tolist() == want
 
 
 def test_bounds(spark):
