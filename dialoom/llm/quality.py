@@ -1,11 +1,13 @@
 """Quality rules as a ledger of failure bits.
 
 Every rule is evaluated once for each document: the ledger row holds the measurements and one bit for each rule
-that the document fails. A policy is a named, versioned mask of the bits that reject; applying another policy,
-or asking what a policy would lose without one of its rules, needs only bit operations on the ledger.
+that the document fails. The ledger is stored once, and read by whatever comes after: a policy is a named, versioned
+mask of the bits that reject; applying another policy, or asking what a policy would lose without one of its rules,
+needs only bit operations on the ledger.
 
 Defined results: a null text has no words; an empty table gives an empty ledger; repeated rows are judged each
-on its own; a null id is passed through. Long texts are measured whole.
+on its own; a null id is passed through; extra columns of any name stay as they are, since the ledger's own columns
+take a name that is free. Long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_values, ship, text_of
+from .common import byte_values, ship, stored, text_of, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words")
 
@@ -133,7 +136,7 @@ def _small(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measures and fail_bits of each row."""
+    """doc_id, the measures and fail_bits of each row: a stored table, texts are read once."""
     ship(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,8 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     src = text_of(df, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(rows, f"doc_id {kind}, {', '.join(f'{k} long' for k in MEASURES)}, fail_bits long")
+    made = src.mapInArrow(rows, f"doc_id {kind}, {', '.join(f'{k} long' for k in MEASURES)}, fail_bits long")
+    return stored(made, "quality-ledger")
 
 
 def with_policy(entries: DataFrame, policy: str = "production-1") -> DataFrame:
@@ -164,14 +168,25 @@ def ablations(entries: DataFrame, policy: str = "production-1") -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def keep(df: DataFrame, policy: str = "production-1", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns as they are, that a policy keeps."""
+def with_ledger(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """df, all columns, stored with its ledger beside it: one more column, a struct of the measures and fail_bits. And that column's name."""
     ship(df.sparkSession)
-    at, mask = df.columns.index(text_col), POLICIES[policy] | POLICIES["base-1"]
+    at, name = df.columns.index(text_col), unused(df, "ledger")
+    fields = [*MEASURES, "fail_bits"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _small(whole, at):
-                yield b.filter(pa.array(failure_bits(measure(byte_values(b.column(at)))) & mask == 0))
+                m = measure(byte_values(b.column(at)))
+                entry = pa.StructArray.from_arrays([*(pa.array(m[k]) for k in MEASURES), pa.array(failure_bits(m))], fields)
+                yield pa.RecordBatch.from_arrays([*b.columns, entry], [*b.schema.names, name])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType([T.StructField(k, T.LongType()) for k in fields]))])
+    return stored(df.mapInArrow(rows, schema), "quality-ledger"), name
 
-    return df.mapInArrow(rows, df.schema)
+
+def keep(df: DataFrame, policy: str = "production-1", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, that a policy keeps by the stored ledger."""
+    entries, name = with_ledger(df, text_col)
+    bits = F.col(f"`{name}`.fail_bits")
+    return entries.where(bits.bitwiseAND(POLICIES[policy] | POLICIES["base-1"]) == 0).drop(name)

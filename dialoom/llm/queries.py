@@ -43,7 +43,11 @@ def op7_ans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.with_policy(quality.ledger(table(spark, sf_dir, "documents")))
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
 
 
 def op9_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_ans_ids": op7_ans_ids,
     "op8_quality_ledger": op8_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op9_int8_tiles": op9_int8_tiles,
     "op10_warc_segments": op10_warc_segments,
 }
@@ -105,6 +110,25 @@ SELECT d.doc_id, d.size, k.n AS source_size, k.target, d.size * (k.copies + CASE
 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.place = d.place"""
 
 
+#: The measures and the failure bits of each document.
+_LEDGER_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT r, i, ws[i:i+4] AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+pos AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM
+       (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(pos.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+      len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_words
+      FROM w LEFT JOIN pos USING (r) LEFT JOIN ln USING (r)),
+b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 4 ELSE 0 END
+      + CASE WHEN 100 * n_symbols > 25 * n_words THEN 8 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_same_words > 30 * n_words THEN 32 ELSE 0 END
+      + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_mixing": _MIX_SQL,
     "op4_license_scan": _license_sql(),
@@ -118,24 +142,12 @@ m AS (SELECT l.*, f.k IS NOT NULL AS gone FROM l LEFT JOIN f ON l.k = f.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id""",
-    "op8_quality_ledger": r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-win AS (SELECT r, i, ws[i:i+4] AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM w)),
-rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
-pos AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
-ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM
-       (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
-m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
-      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(pos.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-      len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_words
-      FROM w LEFT JOIN pos USING (r) LEFT JOIN ln USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 100 * n_symbols > 25 * n_words OR 100 * n_same_words > 30 * n_words) AS kept
-FROM m""",
+    "op8_quality_ledger": _LEDGER_SQL + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 47 = 0 AS kept, fail_bits FROM b""",
+    "quality_ablations": _LEDGER_SQL + """
+, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('word_length', 4), ('symbols', 8), ('same_words', 32))
+SELECT 'production-1' AS policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & 47 = bit) AS n_failed_alone,
+       count(*) FILTER (fail_bits & 47 & ~bit = 0) AS n_kept_without, count(*) AS n_docs FROM b, r GROUP BY rule""",
     "op9_int8_tiles": r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0),
