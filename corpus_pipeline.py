@@ -10,22 +10,47 @@ with ties and repeated rows is said with it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import curve, lines, mixing, overlap, quality, simhash
-from dialoom.llm.common import stored, table
+from dialoom.llm.common import MADE, discard, release, stored, table
 
 #: A line goes from its second document on when it has so many characters and stands in so many documents.
 LINE_CHARS, LINE_DOCS = 16, 10
 
 
+#: Scratch folders of the stage before, whose result is written when the next one starts.
+_LEFT: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage that first deletes what the stage before has left, if docs is read from files, but for what it reads."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {x.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for x in docs.inputFiles()}
+        if read:
+            discard(spark, [x for x in _LEFT if x in MADE and x.split(":")[-1].lstrip("/") not in read])
+            release(spark)
+        before = set(MADE)
+        out = f(spark, docs, sf_dir)
+        _LEFT[:] = [x for x in MADE if x not in before]
+        return out
+
+    return wraps(f)(run)
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy rejects go, by a stored ledger; null and empty texts are among them. Repeated rows are judged alike."""
     return quality.keep(docs, policy="production-1")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines stay where they occur first (smallest id, then position); a document that loses every visible line goes. Repeated rows of equal id and text are one document to the count and lose the same lines."""
     marks = lines.bitmaps(lines.dropped(docs, min_docs=LINE_DOCS, min_chars=LINE_CHARS, mode="first"))
@@ -34,20 +59,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast(kind)) if kind else left
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest id, null last, then the smallest hash of the text; repeated rows are one.
 
     SimHash of five-word shingles links what differs in four bits or less. Near copies are often further apart, so among the
     documents left the five-word shingle sets themselves are compared: whatever has a Jaccard similarity of 0.8 or more is linked."""
     left = stored(simhash.representatives(docs, radius=4, k=5), "near-simhash")
+    release(spark)  # the shuffled texts
     return overlap.representatives(left, num=4, den=5, k=5)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their sources' target weights take them, up to twice; ties in the hash order are taken together, and so are rows equal in id and text. A null source is a source."""
     return mixing.apply(docs, weights=(5, 2, 1), budget=1.5, max_repeats=2)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens along the space-filling curve; ties by id, and every repeated row is packed."""
     return curve.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)

@@ -31,10 +31,28 @@ def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the driver ends."""
+#: Folders that stored() and scratch() have made and that are still there.
+MADE: list[str] = []
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends, if nothing deletes it before."""
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    MADE.append(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders that no frame will read any more."""
+    for path in paths:
+        fs, at = _at(spark, path)
+        fs.delete(at, True)
+        MADE.remove(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_row_each, stored, text_hash
+from .common import MADE, cut, discard, one_row_each, release, stored, text_hash
 from .components import components
 
 #: Shingles put last in the order, of those that are in more than so many prefixes of one text in SAMPLE.
@@ -83,6 +83,7 @@ def _counted(pairs: DataFrame, df: DataFrame, num: int, den: int, k: int, text_c
 
 def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str = "text", common_docs: int = COMMON_DOCS, sample: int = SAMPLE) -> DataFrame:
     """a, b: pairs of text hashes whose shingle sets have a Jaccard similarity of num / den or more, as many as connect all that such pairs connect."""
+    spark, before = df.sparkSession, list(MADE)
     met = _met(df, num, den, k, text_col, common_docs, sample)
     found = root = None
     for order in (1, 2):
@@ -102,7 +103,10 @@ def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str =
     # the longer set has ceil(n num / den) - 1 shingles after its prefix, the shorter one no more
     after = F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
     last = stored(both.where((F.col("c") + after) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "overlap-last")
-    return found.unionByName(_counted(last, df, num, den, k, text_col))
+    done = cut(found.unionByName(_counted(last, df, num, den, k, text_col)))
+    discard(spark, [x for x in MADE if x not in before])
+    release(spark)
+    return done
 
 
 def representatives(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
