@@ -84,12 +84,31 @@ def id_key(doc: Column) -> Column:
     return F.coalesce(F.concat(F.lit("i"), doc.cast("string")), F.lit("n"))
 
 
+#: Rows of two or three short columns that are broadcast at most; more are joined by a shuffle.
+FEW = 1 << 18
+
+
+def among(df: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
+    """df semi- or anti-joined with stored keys, which are broadcast if they are FEW, so that df's texts stay where they are."""
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, how)
+
+
 def one_row_each(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of df, all columns, one row for each (id, hash: a text's hash) of kept. Texts are shuffled once: both steps deal by the same keys."""
+    """Of df, all columns, one row for each (id, hash: a text's hash) of kept.
+
+    If there are no repeated rows and few others to leave out, those are broadcast and texts stay where they are; else texts
+    are shuffled once, since both steps deal by the same keys."""
     h, i = unused(df, "text_hash"), unused(df, "id_key")
     src = df.withColumns({h: text_hash(df[text_col]), i: id_key(df[id_col])})
     keys = kept.select(F.col("hash").alias("k_hash"), id_key(F.col("id")).alias("k_id"))
-    return src.join(keys, (src[h] == keys["k_hash"]) & (src[i] == keys["k_id"]), "left_semi").dropDuplicates([h, i]).drop(h, i)
+    same = (F.col("hash") == F.col("k_hash")) & (F.col("id") == F.col("k_id"))
+    every = src.select(F.col(h).alias("hash"), F.col(i).alias("id")).groupBy("hash", "id").agg((F.count("*") > 1).alias("repeated"))
+    gone = stored(every.join(keys, same, "left").where("repeated or k_id is null").select("hash", "id", "repeated"), "rows-gone")
+    if gone.where("repeated").isEmpty() and gone.count() <= FEW:
+        out = src.join(F.broadcast(gone), (src[h] == gone["hash"]) & (src[i] == gone["id"]), "left_anti")
+    else:
+        out = src.join(keys, (src[h] == keys["k_hash"]) & (src[i] == keys["k_id"]), "left_semi").dropDuplicates([h, i])
+    return out.drop(h, i)
 
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

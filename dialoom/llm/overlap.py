@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MADE, cut, discard, one_row_each, release, stored, text_hash
+from .common import MADE, among, cut, discard, one_row_each, release, stored, text_hash
 from .components import components
 
 #: Shingles put last in the order, of those that are in more than so many prefixes of one text in SAMPLE.
@@ -73,8 +73,8 @@ def _alike(num: int, den: int) -> Column:
 
 def _counted(pairs: DataFrame, df: DataFrame, num: int, den: int, k: int, text_col: str) -> DataFrame:
     """a and b of the pairs whose sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    texts = df.select(text_hash(df[text_col]).alias("h"), df[text_col].cast("string").alias("t")).join(wanted, F.col("h") == F.col("x"), "left_semi").dropDuplicates(["h"])
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "overlap-wanted")
+    texts = among(df.select(text_hash(df[text_col]).alias("h"), df[text_col].cast("string").alias("t")), wanted, F.col("h") == F.col("x"), "left_semi").dropDuplicates(["h"])
     whole = stored(texts.select("h", shingles(F.coalesce("t", F.lit("")), k).alias("s")), "overlap-sets")
     both = pairs.join(whole.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -85,16 +85,12 @@ def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str =
     """a, b: pairs of text hashes whose shingle sets have a Jaccard similarity of num / den or more, as many as connect all that such pairs connect."""
     spark, before = df.sparkSession, list(MADE)
     met = _met(df, num, den, k, text_col, common_docs, sample)
-    found = root = None
+    leads = []
     for order in (1, 2):
         first = met.groupBy("g").agg(F.min_by(F.struct("h", "n"), F.xxhash64(F.lit(order), "h")).alias("f")).select(F.col("g").alias("fg"), F.col("f.h").alias("b"), F.col("f.n").alias("nb"))
-        pairs = met.join(first, F.col("g") == F.col("fg")).select(F.col("h").alias("a"), "b", F.col("n").alias("na"), "nb").where(_alike(num, den)).where("a <> b").select("a", "b").distinct()
-        if root is not None:
-            own = lambda x: root.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))  # noqa: E731, B023
-            pairs = pairs.join(own("a"), F.col("a") == F.col("na"), "left").join(own("b"), F.col("b") == F.col("nb"), "left").where("not coalesce(ra, a) = coalesce(rb, b)").select("a", "b")
-        new = _counted(stored(pairs, "overlap-first"), df, num, den, k, text_col)
-        found = stored(new if found is None else found.unionByName(new), "overlap-links")
-        root = components(found)
+        leads.append(met.join(first, F.col("g") == F.col("fg")).select(F.col("h").alias("a"), "b", F.col("n").alias("na"), "nb").where(_alike(num, den)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    found = stored(_counted(stored(leads[0].unionByName(leads[1]).distinct(), "overlap-first"), df, num, den, k, text_col), "overlap-links")
+    root = components(found)
     named = met.join(root, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("root", "h").alias("r"))
     several = named.groupBy("g").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select(F.col("g").alias("sg"))
     rest = stored(named.join(several, F.col("g") == F.col("sg"), "left_semi"), "overlap-rest")
