@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most; what Arrow holds back of those before goes to the system."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            yield whole.slice(k, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

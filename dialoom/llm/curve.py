@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, ship, text_of
+from .common import byte_values, cut, ship, slices, text_of
 from .tokens import encoder
 
 DIMS, BITS, BUCKETS = 4, 8, 256
@@ -79,12 +79,10 @@ def tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, with_, small = encoder(tokenizer, kind), projection(), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u2").tobytes()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                ids = enc.ids(byte_values(b.column(1)))
-                key = place([np.frombuffer(x, dtype="<u2") for x in ids], with_)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([small.compress(x + end) for x in ids], pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
+        for b in slices(batches, 512):
+            ids = enc.ids(byte_values(b.column(1)))
+            key = place([np.frombuffer(x, dtype="<u2") for x in ids], with_)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([small.compress(x + end) for x in ids], pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
 
     src = text_of(df, id_col, text_col)
     return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, n_tokens long, ids binary")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, ship, stored, text_of, unused
+from .common import byte_values, ship, slices, stored, text_of, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words")
 
@@ -140,7 +140,7 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ship(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in slices(batches, 2048):
             for b in _small(whole, 1):
                 m = measure(byte_values(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in MEASURES), pa.array(failure_bits(m))], ["doc_id", *MEASURES, "fail_bits"])
@@ -175,7 +175,7 @@ def with_ledger(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     fields = [*MEASURES, "fail_bits"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in slices(batches, 2048):
             for b in _small(whole, at):
                 m = measure(byte_values(b.column(at)))
                 entry = pa.StructArray.from_arrays([*(pa.array(m[k]) for k in MEASURES), pa.array(failure_bits(m))], fields)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, one_row_each, ship, stored, text_hash, text_of
+from .common import byte_values, cut, one_row_each, ship, slices, stored, text_hash, text_of
 from .components import components, forest
 
 TILE = 4096
@@ -53,11 +53,9 @@ def fingerprints(df: DataFrame, k: int = 4, seed: int = 42, id_col: str = "doc_i
     ship(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                fp = np.array([fingerprint(t, k, seed) for t in byte_values(b.column(1))], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+        for b in slices(batches, 512):
+            fp = np.array([fingerprint(t, k, seed) for t in byte_values(b.column(1))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     src = text_of(df, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
     return src.mapInArrow(rows, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
