@@ -88,7 +88,10 @@ def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str =
     leads = []
     for order in (1, 2):
         first = met.groupBy("g").agg(F.min_by(F.struct("h", "n"), F.xxhash64(F.lit(order), "h")).alias("f")).select(F.col("g").alias("fg"), F.col("f.h").alias("b"), F.col("f.n").alias("nb"))
-        leads.append(met.join(first, F.col("g") == F.col("fg")).select(F.col("h").alias("a"), "b", F.col("n").alias("na"), "nb").where(_alike(num, den)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        both = met.join(first, F.col("g") == F.col("fg")).select(F.col("h").alias("a"), "b", F.col("n").alias("na"), "nb").where(_alike(num, den)).where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        # a passage in common is no near copy: what leaves out pairs here leaves them to the rest below
+        small = F.least("na", "nb")
+        leads.append(both.where(4 * F.col("c") >= small - F.floor((small * num + den - 1) / den) + 1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     found = stored(_counted(stored(leads[0].unionByName(leads[1]).distinct(), "overlap-first"), df, num, den, k, text_col), "overlap-links")
     root = components(found)
     named = met.join(root, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("root", "h").alias("r"))
