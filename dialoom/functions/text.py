@@ -22,21 +22,21 @@ DIACRITICS = {"en": "", "de": "äöüß", "pl": "ąćęłńóśźż", "fr": "à
 
 # Phrases that mark a language.
 PHRASES = {
-    "fr": r"(?i)\b(je (souhaite|voudrais|veux|pars|dois)|bonjour,? je|pouvez-vous|itin[ée]raire|j'ai besoin d')",
-    "de": r"(?i)\b(ich (m[öo]chte|brauche|muss|h[aä]tte)|guten (tag|morgen)|wie komme ich|kannst du mich)",
-    "pl": r"(?i)\b(proszę o|chciał(by|m)ym|dzień dobry|jak dojadę|poprosz[ęę]|szukam trasy)",
-    "es": r"(?i)\b(quiero (ir|que|saber)|podr[ií]a usted|buenos d[ií]as|hola,? quer[ií]a|necesito ir)",
-    "en": r"(?i)\b(could you|can you (tell|help|find)|i (want|need) to (get|go|drive)|good (morning|afternoon),? (i|can|could))",
+    "fr": r"(?iu)\b(je (souhaite|voudrais|veux|pars|dois)|bonjour,? je|pouvez-vous|itin[ée]raire|j'ai besoin d')",
+    "de": r"(?iu)\b(ich (m[öo]chte|brauche|muss|h[aä]tte)|guten (tag|morgen)|wie komme ich|kannst du mich)",
+    "pl": r"(?iu)\b(proszę o|chciał(by|m)ym|dzień dobry|jak dojadę|poprosz[ęę]|szukam trasy)",
+    "es": r"(?iu)\b(quiero (ir|que|saber)|podr[ií]a usted|buenos d[ií]as|hola,? quer[ií]a|necesito ir)",
+    "en": r"(?iu)\b(could you|can you (tell|help|find)|i (want|need) to (get|go|drive)|good (morning|afternoon),? (i|can|could))",
 }
 
 # Secrets as written in a URL or assignment, as a JSON member, and in error texts.
 _NAMES = r"(api[-_]?key|access[-_]?token|subscription[-_]?key|token|key)"
-SECRET_ASSIGNED = r"(?i)\b" + _NAMES + r"\s*=\s*([A-Za-z0-9_.\-]{8,})"
-SECRET_MEMBER = r"(?i)[\"']" + _NAMES + r"[\"']\s*:\s*[\"']([A-Za-z0-9_.\-]{8,})[\"']"
-SECRET_IN_ERROR = r"(?i)\b" + _NAMES + r"=([A-Za-z0-9_\-.]{6,})"
+SECRET_ASSIGNED = r"(?iu)\b" + _NAMES + r"\s*=\s*([A-Za-z0-9_.\-]{8,})"
+SECRET_MEMBER = r"(?iu)[\"']" + _NAMES + r"[\"']\s*:\s*[\"']([A-Za-z0-9_.\-]{8,})[\"']"
+SECRET_IN_ERROR = r"(?iu)\b" + _NAMES + r"=([A-Za-z0-9_\-.]{6,})"
 
 # Speaker names that a simulated user may put in front of a message.
-SPEAKERS = r"(?i)^\s{0,3}(?:user|driver|passenger|assistant|kierowca|u[żz]ytkownik|pasazer|nutzer|fahrer|passagier|conducteur|conductrice|passager|chauffeur|usuario|conductor|pasajero)\s*[:\-–—>]+\s*"
+SPEAKERS = r"(?iu)^\s{0,3}(?:user|driver|passenger|assistant|kierowca|u[żz]ytkownik|pasazer|nutzer|fahrer|passagier|conducteur|conductrice|passager|chauffeur|usuario|conductor|pasajero)\s*[:\-–—>]+\s*"
 QUOTES = "\"'“”„«»‘’"
 
 

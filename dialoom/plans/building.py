@@ -22,7 +22,7 @@ def transported_calls(t):
 
 @query("""
 SELECT l_orderkey, l_partkey || '' AS name, round(l_quantity * 1234 / 1000, 1) AS km, round(l_quantity * 77 / 60)::BIGINT AS minutes FROM (
-SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem WHERE l_orderkey % 5 = 0) WHERE r <= 3""")
+SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE r <= 3""")
 def top_results(t):
     rows = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"))
     made = F.transform("x", lambda r: F.struct(r["l_partkey"].cast("string").alias("name"), (r["l_quantity"] * 1234).alias("meters"), (r["l_quantity"] * 77).alias("seconds")))
@@ -51,7 +51,7 @@ def source_counters(t):
 
 
 @query("""
-WITH s AS (SELECT doc_id AS seed_id, lang, md5('42:' || doc_id) AS h FROM documents WHERE doc_id < 100 AND lang <> 'es'),
+WITH s AS (SELECT doc_id AS seed_id, lang, md5('42:' || doc_id) AS h FROM documents WHERE lang <> 'es'),
 p AS (SELECT seed_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, seed_id) - 1 AS rn FROM s UNION ALL SELECT seed_id, '*', row_number() OVER (ORDER BY h, seed_id) - 1 FROM s),
 z AS (SELECT lang, count(*) AS n FROM p GROUP BY lang), i AS (SELECT doc_id AS id, d.lang, coalesce(z.lang, '*') AS pool FROM documents d LEFT JOIN z ON d.lang = z.lang)
 SELECT i.id, i.lang, p.seed_id FROM i JOIN z ON z.lang = i.pool JOIN p ON p.lang = i.pool AND p.rn = ('0x' || left(md5('42:' || i.id), 13))::BIGINT % z.n""")
@@ -65,6 +65,6 @@ def category_counts(t):
     return building.category_counts(t("documents"), ["lang", "source"])
 
 
-@query("""SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels""")
+@query("""SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels""")
 def guard_ids(t):
     return t("documents").select(F.col("doc_id").alias("id")).union(t("labels").select("doc_id")).distinct()

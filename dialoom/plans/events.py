@@ -73,7 +73,7 @@ def first_seen_events(t):
 
 
 @query("""
-SELECT b.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 201))::INT AS bin) b LEFT JOIN (SELECT floor(value)::INT AS bin, count(*) AS n FROM events GROUP BY 1) USING (bin)""")
+SELECT b.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(least(0, min(floor(value)))::BIGINT, greatest(200, max(floor(value)))::BIGINT + 1))::INT AS bin FROM events) b LEFT JOIN (SELECT floor(value)::INT AS bin, count(*) AS n FROM events GROUP BY 1) USING (bin)""")
 def value_histogram(t):
     return summary.histogram(t("events"), F.floor("value"), 0, 200)
 
