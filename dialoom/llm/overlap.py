@@ -15,19 +15,25 @@ of all pairs.
 Defined results: words and letter case are those of SimHash; fewer words than a shingle make one shingle; texts without
 words have no shingles and are near to nothing but their exact copies; repeated rows are one; of ties the smallest id,
 then the smallest text hash stays; null ids come last; extra columns of any name are left as they are; an empty table
-gives an empty table. DataFrame operations only.
+gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MADE, among, cut, discard, one_row_each, release, stored, text_hash
+from .common import MADE, among, cut, discard, one_row_each, release, ship, stored, text_hash
 from .components import components
 
 #: Shingles put last in the order, of those that are in more than so many prefixes of one text in SAMPLE.
 COMMON, COMMON_DOCS, SAMPLE = 2000, 12, 8
+#: Texts left at a shingle beyond which they are compared in cells, and texts of a tile.
+MANY, TILE = 64, 256
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -71,17 +77,86 @@ def _alike(num: int, den: int) -> Column:
     return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
 
 
+def _wanted(hashes: DataFrame, df: DataFrame, k: int, text_col: str) -> DataFrame:
+    """h and its shingles s for each text whose hash is among x."""
+    wanted = stored(hashes, "overlap-wanted")
+    texts = among(df.select(text_hash(df[text_col]).alias("h"), df[text_col].cast("string").alias("t")), wanted, F.col("h") == F.col("x"), "left_semi").dropDuplicates(["h"])
+    return stored(texts.select("h", shingles(F.coalesce("t", F.lit("")), k).alias("s")), "overlap-sets")
+
+
 def _counted(pairs: DataFrame, df: DataFrame, num: int, den: int, k: int, text_col: str) -> DataFrame:
     """a and b of the pairs whose sets have the similarity."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "overlap-wanted")
-    texts = among(df.select(text_hash(df[text_col]).alias("h"), df[text_col].cast("string").alias("t")), wanted, F.col("h") == F.col("x"), "left_semi").dropDuplicates(["h"])
-    whole = stored(texts.select("h", shingles(F.coalesce("t", F.lit("")), k).alias("s")), "overlap-sets")
+    whole = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), df, k, text_col)
     both = pairs.join(whole.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
 
 
-def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str = "text", common_docs: int = COMMON_DOCS, sample: int = SAMPLE) -> DataFrame:
+def close(sets: list[np.ndarray], root: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between sets of different roots, as many as hold together what all such links do."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    more = times[column] > 1  # only these are shared
+    column, row = np.unique(column[more], return_inverse=True)[1], row[more]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, [first, first + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[a:z], column[a:z] - first] = 1
+        shared += m @ m.T
+    u, v = np.nonzero(np.triu(shared * (num + den) >= (sizes[:, None] + sizes) * num, 1))
+    label, out = {int(r): int(r) for r in root}, []
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    for i, j in zip(u.tolist(), v.tolist()):
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b:
+            label[a] = b
+            out.append((i, j))
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Streams rows (g, cell, h, r, s) sorted by g and cell; one cell is held at a time."""
+    held: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = close([x[4] for x in held], np.array([x[3] for x in held]), num, den) if len(held) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i, _ in found]), pa.array([held[j][2] for _, j in found])], ["a", "b"])
+
+    for b in batches:
+        g, cell, h, r = (b.column(i).to_pylist() for i in range(4))
+        for k, s in enumerate(b.column(4)):
+            if held and held[0][:2] != (g[k], cell[k]):
+                yield from flush()
+                held = []
+            held.append((g[k], cell[k], h[k], r[k], s.values.to_numpy()))
+    yield from flush()
+
+
+def _crowded(rest: DataFrame, crowds: DataFrame, df: DataFrame, num: int, den: int, k: int, text_col: str) -> DataFrame:
+    """Links among the texts at crowded shingles. crowds(cg, tiles)."""
+    ship(df.sparkSession)
+    rows = rest.join(crowds, F.col("g") == F.col("cg")).select("g", "h", "r", "tiles")
+    own = F.pmod(F.xxhash64("h"), F.col("tiles"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.least(t, own) * F.col("tiles") + F.greatest(t, own))
+    rows = rows.withColumn("cell", F.explode(others))
+    whole = _wanted(rows.select(F.col("h").alias("x")).distinct(), df, k, text_col).select(F.col("h").alias("sh"), "s")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.join(whole, F.col("h") == F.col("sh")).select("g", "cell", "h", "r", "s").repartition(parts, "g", "cell").sortWithinPartitions("g", "cell")
+    return full.mapInArrow(lambda b: _cells(b, num, den), "a long, b long")
+
+
+def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str = "text", common_docs: int = COMMON_DOCS, sample: int = SAMPLE, many: int = MANY) -> DataFrame:
     """a, b: pairs of text hashes whose shingle sets have a Jaccard similarity of num / den or more, as many as connect all that such pairs connect."""
     spark, before = df.sparkSession, list(MADE)
     met = _met(df, num, den, k, text_col, common_docs, sample)
@@ -95,14 +170,17 @@ def links(df: DataFrame, num: int = 4, den: int = 5, k: int = 5, text_col: str =
     found = stored(_counted(stored(leads[0].unionByName(leads[1]).distinct(), "overlap-first"), df, num, den, k, text_col), "overlap-links")
     root = components(found)
     named = met.join(root, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("root", "h").alias("r"))
-    several = named.groupBy("g").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least < most").select(F.col("g").alias("sg"))
-    rest = stored(named.join(several, F.col("g") == F.col("sg"), "left_semi"), "overlap-rest")
-    side = lambda x: rest.select("g", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
+    several = named.groupBy("g").agg(F.min("r").alias("least"), F.max("r").alias("most"), F.count("*").alias("size")).where("least < most").select(F.col("g").alias("sg"), "size")
+    rest = stored(named.join(several, F.col("g") == F.col("sg")).drop("sg"), "overlap-rest")
+    crowds = rest.where(F.col("size") > many).groupBy(F.col("g").alias("cg")).agg(F.ceil(F.first("size") / TILE).alias("tiles"))
+    crowded = _crowded(rest.where(F.col("size") > many), stored(crowds, "overlap-crowds"), df, num, den, k, text_col)
+    few = rest.where(F.col("size") <= many)
+    side = lambda x: few.select("g", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
     both = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(num, den)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     # the longer set has ceil(n num / den) - 1 shingles after its prefix, the shorter one no more
     after = F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
     last = stored(both.where((F.col("c") + after) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "overlap-last")
-    done = cut(found.unionByName(_counted(last, df, num, den, k, text_col)))
+    done = cut(found.unionByName(crowded).unionByName(_counted(last, df, num, den, k, text_col)))
     discard(spark, [x for x in MADE if x not in before])
     release(spark)
     return done

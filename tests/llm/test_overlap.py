@@ -43,12 +43,20 @@ def test_links_of_documents(spark):
     at = {h: i for i, h in enumerate(ids)}
     want = brute_components(len(ids), lambda i, j: near(g[ids[i]], g[ids[j]]))
     assert len(set(want)) < len(ids) - 40
-    for common_docs, sample in ((overlap.COMMON_DOCS, overlap.SAMPLE), (2, 1)):
-        e = [(r["a"], r["b"]) for r in overlap.links(df, common_docs=common_docs, sample=sample).collect()]
+    for common_docs, sample, many in ((overlap.COMMON_DOCS, overlap.SAMPLE, overlap.MANY), (2, 1, 2), (10**6, 1, 1)):
+        e = [(r["a"], r["b"]) for r in overlap.links(df, common_docs=common_docs, sample=sample, many=many).collect()]
         assert all(near(g[a], g[b]) for a, b in e)
         assert components.forest(len(ids), np.array([at[a] for a, _ in e]), np.array([at[b] for _, b in e])).tolist() == want
 
 
+def test_close():
+    """Of sets with different roots, links that hold together what all links do; with one set twice and one that is far."""
+    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(0, 100), np.arange(9, 109), np.arange(50, 150), np.arange(1000, 1003)]
+    found = overlap.close(sets, np.array([1, 2, 3, 4, 5, 6]), 4, 5)
+    assert sorted(components.forest(6, np.array([i for i, _ in found]), np.array([j for _, j in found])).tolist()) == [0, 0, 0, 0, 4, 5]
+    assert overlap.close(sets[:3], np.array([7, 7, 7]), 4, 5) == []
+
+
 def test_bounds(spark):
     """Just at 0.8 (8 shared of 10) and just below (8 of 11), and a passage of which there is more than the common list's limit."""
     w = [f"w{i}" for i in range(400)]
