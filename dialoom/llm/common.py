@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -61,12 +62,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Of the C library, where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows at most; what Arrow holds back of those before goes to the system."""
+    """Batches of so many rows at most; the memory of those before goes back to the system, which bounds what a worker keeps."""
     for whole in batches:
         for k in range(0, whole.num_rows, rows):
             yield whole.slice(k, rows)
         pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
 
 
 def byte_values(column: pa.Array) -> list[bytes]:

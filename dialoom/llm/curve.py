@@ -136,7 +136,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, kind: str = "word", most: i
     done = cut(tokenised(df, tokenizer, kind, end_id, id_col, text_col))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), done.rdd.getNumPartitions())
     # the cell decides; copies and cell mates are told apart by id
-    along = done.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens")
+    along = done.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
     id_type = done.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
 
@@ -150,7 +150,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, kind: str = "word", most: i
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_kind), *(pa.array(c, pa.int64()) for c in cols[1:7])], names)
 
         id_kind = None
-        for b in batches:
+        for b in slices(batches, 2048):
             id_kind = b.column(0).type
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p.add(doc, np.frombuffer(big.decompress(ids), dtype="<u2"))

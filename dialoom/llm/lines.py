@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, ship
+from .common import byte_values, cut, ship, slices
 
 
 
@@ -44,23 +44,21 @@ def _known(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _lines(known: DataFrame, min_chars: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                raw, of, pos, total = [], [], [], []
-                for k, text in enumerate(byte_values(b.column(3))):
-                    keys = [x.strip().lower() for x in text.split(b"\n")]
-                    if min_chars == 1:
-                        at = [p for p, x in enumerate(keys) if x]
-                    else:
-                        at = [p for p, x in enumerate(keys) if len(x) >= min_chars and len(x.decode("utf-8", "replace")) >= min_chars]
-                    raw += [digest(keys[p]) for p in at]
-                    pos += at
-                    of += [k] * len(at)
-                    total += [len(keys)] * len(at)
-                h = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
-                take = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(pos, pa.int32()), pa.array(total, pa.int32())], ["h1", "h2", "has_id", "doc", "text_hash", "pos", "n_lines"])
+        for b in slices(batches, 256):
+            raw, of, pos, total = [], [], [], []
+            for k, text in enumerate(byte_values(b.column(3))):
+                keys = [x.strip().lower() for x in text.split(b"\n")]
+                if min_chars == 1:
+                    at = [p for p, x in enumerate(keys) if x]
+                else:
+                    at = [p for p, x in enumerate(keys) if len(x) >= min_chars and len(x.decode("utf-8", "replace")) >= min_chars]
+                raw += [digest(keys[p]) for p in at]
+                pos += at
+                of += [k] * len(at)
+                total += [len(keys)] * len(at)
+            h = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(pos, pa.int32()), pa.array(total, pa.int32())], ["h1", "h2", "has_id", "doc", "text_hash", "pos", "n_lines"])
 
     return known.mapInArrow(rows, "h1 long, h2 long, has_id boolean, doc long, text_hash long, pos int, n_lines int")
 
@@ -233,7 +231,7 @@ def digests(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     id_type = df.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             got = [kept_lines(t, k) for t, k in zip(byte_values(b.column(1)), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
@@ -248,7 +246,7 @@ def apply(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str
     at, n = names.index(text_col), len(names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             texts, keeps = byte_values(b.column(at)), b.column(n).to_pylist()
             new = [kept_lines(t, k)[0] if k is not None else t for t, k in zip(texts, keeps)]
             whole = pa.array([v is None for v in b.column(at).to_pylist()])

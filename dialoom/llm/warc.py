@@ -3,20 +3,23 @@
 Writing: a payload is framed in chunked transfer coding behind an HTTP header; a block longer than SEGMENT bytes
 is cut into a first record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID, and on the last
 one WARC-Segment-Total-Length). Of equal payloads of MIN_REVISIT bytes or more, the largest page is the response
-and the others are revisit records that refer to it. Files come from Spark's text writer (gzip), a bounded number
-of records each.
+and the others are revisit records that refer to its record. Every record is a gzip member of its own, so archives can be
+read from any record on; the first of a task is a warcinfo. Files come from Spark's text writer, RECORDS_A_FILE each;
+since no record's block is longer than SEGMENT, that bounds their bytes too. The writer ends each value with a separator:
+it is the zero byte in which a member of less than 16 MB ends.
 
-Reading: files are parsed by Content-Length, never by looking for a mark that a payload might hold. Segments are
-grouped by origin, ordered by number, checked against the total length, and the chunks are decoded; payload
-digests are checked.
+Reading: all members of a file are inflated, one record or many in each. They are parsed by Content-Length, never by looking
+for a mark that a payload might hold. Segments are grouped by origin, ordered by number, checked against the total
+length, and the chunks are decoded; payload digests are checked.
 
 Defined results: a null html is an empty payload; a null page_id is written as such and never preferred as the
-response; rows that share the largest page_id of their payload are all responses; an empty table gives an empty
-archive.
+response; rows that share the largest page_id of their payload are all responses; pages of any length are written in
+segments; an empty table gives an empty archive. Ids are numbers.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, new_path, scratch, ship
+from .common import byte_values, new_path, scratch, ship, slices, stored
 
 SEGMENT, CHUNK, MIN_REVISIT, RECORDS_A_FILE = 1 << 16, 1 << 14, 1000, 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -58,14 +61,14 @@ def _head(kind: str, record: str, length: int, more: list[tuple[str, object]]) -
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n").encode()
 
 
-def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, unique: str) -> list[bytes]:
-    """The records of one page, without the two line ends that close a record."""
+def records(page: int | None, url: str | None, payload: bytes, refers_to: tuple[int, int] | None, unique: int) -> list[bytes]:
+    """The records of one page, without the two line ends that close a record. refers_to: page and number of the response's row."""
     name = f"<urn:page:{'' if page is None else page}:{unique}>"
     clean = re.sub(r"[\x00-\x20\x7f]+", "%20", url) if url else None
     more = [("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
         block = _HTTP
-        more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", len(payload))]
+        more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", "<urn:page:{}:{}>".format(*refers_to)), ("X-Payload-Length", len(payload))]
         return [_head("revisit", name, len(block), more) + block]
     block = _HTTP + chunked(payload)
     if len(block) <= SEGMENT:
@@ -78,13 +81,34 @@ def records(page: int | None, url: str | None, payload: bytes, refers_to: int |
     return out
 
 
+def member(record: bytes) -> bytes:
+    """A record with its two line ends as a gzip member, without the zero byte that ends it."""
+    raw = gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+    if raw[-1]:
+        raise ValueError("a record of 16 MB or more")
+    return raw[:-1]
+
+
+def inflated(raw: bytes) -> bytes:
+    """All gzip members, one after the other."""
+    out = []
+    while raw:
+        one = zlib.decompressobj(wbits=31)
+        out += [one.decompress(raw), one.flush()]
+        if not one.eof:
+            raise ValueError("a gzip member is cut off")
+        raw = one.unused_data
+    return b"".join(out)
+
+
 def originals(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """page_id, url-free payload and refers_to: the page whose payload is the same, where it is another."""
-    src = pages.withColumn("same", F.when(F.octet_length("html") >= MIN_REVISIT, F.concat(F.lit("p"), F.sha2(F.col("html").cast("binary"), 256))))
-    first = src.where("same is not null").groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    """page_id, url, payload, row (a number of its own) and refers_to: page and row of the page whose payload is the same, where it is another."""
+    # stored, so that both sides of the join see the same numbers
+    src = stored(pages.withColumn("row", F.monotonically_increasing_id()), "warc-pages").withColumn("same", F.when(F.octet_length("html") >= MIN_REVISIT, F.concat(F.lit("p"), F.sha2(F.col("html").cast("binary"), 256))))
+    first = src.where("same is not null").groupBy("same").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     # other key columns than those that the groups are dealt by, so that a join's large keys can be split at run time
     first = first.select(F.concat(F.lit("k"), "same").alias("key"), "first")
-    return src.withColumn("key", F.concat(F.lit("k"), "same")).join(first, "key", "left").withColumn("refers_to", F.expr("if(page_id <=> first, null, first)")).select("page_id", "url", "html", "refers_to")
+    return src.withColumn("key", F.concat(F.lit("k"), "same")).join(first, "key", "left").withColumn("refers_to", F.expr("if(page_id <=> first.page_id, null, first)")).select("page_id", "url", "html", "row", "refers_to.page_id", F.col("refers_to.row").alias("to_row")).toDF("page_id", "url", "html", "row", "to_page", "to_row")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -92,18 +116,17 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, part = 0, TaskContext.get().partitionId()
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b, out = whole.slice(i, 256), []
-                for page, url, html, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_values(b.column(2)), b.column(3).to_pylist()):
-                    out += records(page, url, html, refers, f"{part:x}-{k:x}")
-                    k += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        about = b"software: dialoom\r\nformat: WARC File Format 1.1\r\n"
+        head = _head("warcinfo", f"<urn:info:{TaskContext.get().partitionId()}>", len(about), [("Content-Type", "application/warc-fields")]) + about
+        for b in slices(batches, 256):
+            out, head = [head] if head else [], b""
+            for page, url, html, row, to_page, to_row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_values(b.column(2)), *(b.column(i).to_pylist() for i in (3, 4, 5))):
+                out += records(page, url, html, None if to_page is None else (to_page, to_row), row)
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(member, out)), pa.binary())], ["record"])
 
     done = originals(src, "page_id", "html").mapInArrow(rows, "record binary")
-    # each record's bytes as they are; the separator closes the record
-    done.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    # each member's bytes as they are; the separator is its last byte
+    done.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,7 +173,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         for b in batches:
             for raw in b.column(0):
                 got: list[tuple] = []
-                for h, block in parse(zlib.decompress(raw.as_py(), wbits=47)):
+                for h, block in parse(inflated(raw.as_py())):
                     name, kind = h["warc-record-id"], h["warc-type"]
                     if kind == "continuation":
                         got.append((h["warc-segment-origin-id"], int(h["warc-segment-number"]), int(h.get("warc-segment-total-length", -1)), None, None, None, None, None, block))
@@ -184,7 +207,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                         sizes[i], out[i] = len(payload), payload if with_payload else None
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), b.column(3), b.column(1), b.column(2), *[pa.array(out, pa.binary())] * with_payload], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("content")
     part = F.when(F.col("number") > 0, F.struct("number", "total", "block"))
     one = (
         files.mapInArrow(rows, _COLS)

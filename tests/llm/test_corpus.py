@@ -1,5 +1,6 @@
 """The corpus operators against brute force, over rows with every odd case."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -168,6 +169,14 @@ def test_warc(spark, tmp_path):
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == Counter(want)
     assert all(bytes(r["payload"]) == raw(next(h for i, _, h in pages if i == r["page_id"])) for r in got if r["record_type"] == "response")
     assert warc.round_trip(df.limit(0)).count() == 0
+    # what is referred to is there, in files that any reader of gzip takes, and so are the records of archives of other writers
+    heads = [h for f in (tmp_path / "w").glob("part-*") for h, _ in warc.parse(gzip.decompress(f.read_bytes()))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= set(ids) and any(h["warc-type"] == "warcinfo" for h in heads)
+    (tmp_path / "o").mkdir()
+    one = [b"\r\n\r\n".join([*warc.records(i, None, b"x" * i, None, 0), b""]) for i in (1, 2, 3)]
+    (tmp_path / "o" / "a.warc.gz").write_bytes(gzip.compress(one[0]) + gzip.compress(one[1] + one[2]))
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read(spark, f"{tmp_path}/o").collect()) == [(1, 1), (2, 2), (3, 3)]
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
 
