@@ -24,6 +24,8 @@ from dialoom.llm.common import MADE, discard, release, stored, table
 LINE_CHARS, LINE_DOCS = 16, 10
 
 
+#: Rows of an Arrow batch at most: they hold whole documents, of which an executor's and a worker's memory hold several batches.
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Scratch folders of the stage before, whose result is written when the next one starts.
 _LEFT: list[str] = []
 
@@ -36,6 +38,8 @@ def _stage(f: Callable) -> Callable:
         if read:
             discard(spark, [x for x in _LEFT if x in MADE and x.split(":")[-1].lstrip("/") not in read])
             release(spark)
+        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
         before = set(MADE)
         out = f(spark, docs, sf_dir)
         _LEFT[:] = [x for x in MADE if x not in before]

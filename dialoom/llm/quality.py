@@ -125,7 +125,7 @@ def failure_bits(m: dict[str, np.ndarray]) -> np.ndarray:
     return bits
 
 
-def _small(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each."""
     size = np.array([len(x) if x else 0 for x in byte_values(batch.column(text))], dtype=np.int64)
     part = np.cumsum(size) // most

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, new_path, scratch, ship, slices, stored
+from .common import FEW, byte_values, new_path, scratch, ship, slices, stored
 
 SEGMENT, CHUNK, MIN_REVISIT, RECORDS_A_FILE = 1 << 16, 1 << 14, 1000, 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -108,6 +108,8 @@ def originals(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     first = src.where("same is not null").groupBy("same").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     # other key columns than those that the groups are dealt by, so that a join's large keys can be split at run time
     first = first.select(F.concat(F.lit("k"), "same").alias("key"), "first")
+    first = stored(first, "warc-first")
+    first = F.broadcast(first) if first.count() <= FEW // 8 else first  # else pages are shuffled
     return src.withColumn("key", F.concat(F.lit("k"), "same")).join(first, "key", "left").withColumn("refers_to", F.expr("if(page_id <=> first.page_id, null, first)")).select("page_id", "url", "html", "row", "refers_to.page_id", F.col("refers_to.row").alias("to_row")).toDF("page_id", "url", "html", "row", "to_page", "to_row")
 
 
