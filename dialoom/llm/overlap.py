@@ -33,7 +33,7 @@ from .components import components
 #: Shingles put last in the order, of those that are in more than so many prefixes of one text in SAMPLE.
 COMMON, COMMON_DOCS, SAMPLE = 2000, 12, 8
 #: Texts left at a shingle beyond which they are compared in cells, and texts of a tile.
-MANY, TILE = 64, 256
+MANY, TILE = 256, 1024
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Pieces in each of a memo's two generations.
-MEMO = {"byte": 900_000, "word": 150_000}
+MEMO = {"byte": 900_000, "word": 250_000}
 #: White space beyond ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes of which one or more are in each of them; most texts have none, and need no search for the whole.
