@@ -2,14 +2,16 @@
 
 Every line becomes a 128-bit hash of its key (white space stripped, A-Z lower-cased). The hashes are dealt by
 range and sorted by document and position behind them, so each partition streams through whole runs of equal
-lines; a run that a range boundary cuts is settled from one summary of each partition's two outer runs. Since
-document and position are part of the range, a line found in every document is spread over many partitions.
+lines; a run that a range boundary cuts is settled from one summary of each partition's two outer runs, which are put
+together on the cluster: a line has one summary for each partition at most. Since document and position are part of the
+range, a line found in every document is spread over many partitions.
 
 Modes: ``first`` keeps a line's first occurrence (smallest document, then position), ``all`` keeps none; either
 applies to lines found in at least min_docs documents whose keys have at least min_chars code points.
 
 A document is known by its id and a hash of its text: repeated rows with equal id and text count as one document
-and get the same bitmap; a null id is an id of its own, smaller than any other. A null or empty text is one empty
+and get the same bitmap; ids may be of any type (other than whole numbers, they are ordered as text); a null id is an id
+of its own, smaller than any other. A null or empty text is one empty
 line. Documents that lose nothing have no bitmap. An empty table gives an empty table.
 """
 
@@ -24,21 +26,29 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import byte_values, cut, ship, slices
-
+from .common import FEW, byte_values, cut, ship, slices, stored, text_hash
 
 
 def key_of(line: bytes) -> bytes:
     return line.strip().lower()
 
 
+def _doc(df: DataFrame, id_col: str) -> Column:
+    """An id as it is carried, never null: whole numbers as long, all else as text."""
+    return F.coalesce(df[id_col].cast("long"), F.lit(0)) if isinstance(df.schema[id_col].dataType, IntegralType) else F.coalesce(df[id_col].cast("string"), F.lit(""))
+
+
+def _kind(df: DataFrame, doc: str = "doc") -> str:
+    return df.schema[doc].dataType.simpleString()
+
+
 def _known(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """has_id and doc (never null), a hash of the text, and the text: what a document is known by."""
-    i = F.col(id_col)
-    return df.select(i.isNotNull().alias("has_id"), F.coalesce(i.cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return df.select(df[id_col].isNotNull().alias("has_id"), _doc(df, id_col).alias("doc"), text_hash(df[text_col]).alias("text_hash"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
 def _lines(known: DataFrame, min_chars: int) -> DataFrame:
@@ -60,16 +70,16 @@ def _lines(known: DataFrame, min_chars: int) -> DataFrame:
             take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(pos, pa.int32()), pa.array(total, pa.int32())], ["h1", "h2", "has_id", "doc", "text_hash", "pos", "n_lines"])
 
-    return known.mapInArrow(rows, "h1 long, h2 long, has_id boolean, doc long, text_hash long, pos int, n_lines int")
+    return known.mapInArrow(rows, f"h1 long, h2 long, has_id boolean, doc {_kind(known)}, text_hash long, pos int, n_lines int")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool, whole_ids: bool) -> Iterator[pa.RecordBatch]:
     """Streams one partition. Inner runs are settled here; the first and the last run's rows go on undecided, with a summary each.
 
     Out: edge 0 (dropped), 1 or 2 (row of the first or last run), -1 or -2 (its summary: n_docs, and the documents at its ends).
     """
     names = ["edge", "part", "h1", "h2", "has_id", "doc", "text_hash", "pos", "n_lines", "n_docs", "rank"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64() if whole_ids else pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     part = TaskContext.get().partitionId()
     tail: list[np.ndarray] | None = None  # rows of the run that is open
     inner = False  # whether a run has ended before
@@ -96,8 +106,9 @@ def _runs(batches: Iterator[pa.RecordBatch], min_docs: int, first_stays: bool) -
 
     def summary(edge: int) -> Iterator[pa.RecordBatch]:
         # the run's first row and the document of its last one
-        yield table([np.array([v]) for v in first_row], edge, docs, 0)
-        yield table([np.array([v]) for v in (*first_row[:2], *last_doc, first_row[5], first_row[6])], edge, docs, 1)
+        one = lambda row: [np.array([v], object if isinstance(v, str) else None) for v in row]
+        yield table(one(first_row), edge, docs, 0)
+        yield table(one((*first_row[:2], *last_doc, *first_row[5:])), edge, docs, 1)
 
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
@@ -174,32 +185,36 @@ def dropped(df: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "
     spark = df.sparkSession
     ship(spark)
     src = _lines(_known(df, id_col, text_col), min_chars)
+    kind, first_stays = _kind(src), mode == "first"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     order = ["h1", "h2", "has_id", "doc", "text_hash", "pos"]
-    out = "edge int, part int, h1 long, h2 long, has_id boolean, doc long, text_hash long, pos int, n_lines int, n_docs long, rank int"
-    first_stays = mode == "first"
-    done = cut(src.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _runs(b, min_docs, first_stays), out))
-    # two runs of each partition at most, and those longer than a task holds at once
-    ends: dict[tuple, list] = {}
-    for r in done.where("edge < 0").orderBy("part", "h1", "h2", "rank").collect():
-        run = ends.setdefault((r["part"], -r["edge"], r["h1"], r["h2"]), [r["n_docs"], None, None, None])
-        run[1 + r["rank"]] = (r["has_id"], r["doc"], r["text_hash"])
-        run[3] = (*run[1], r["pos"]) if not r["rank"] else run[3]
-    by_line: dict[tuple, list] = {}
-    for (part, edge, h1, h2), run in sorted(ends.items()):
-        by_line.setdefault((h1, h2), []).append((part, edge, run))
-    verdict = []  # of each run that is undecided: whether it goes, and the row of it that stays
-    for (h1, h2), runs in by_line.items():
-        n = sum(run[0] for _, _, run in runs) - sum(p[2][2] == q[2][1] for p, q in zip(runs, runs[1:]))
-        if n >= min_docs:
-            verdict += [(part, edge, h1, h2, *(run[3] if first_stays and k == 0 else (None, None, None, None))) for k, (part, edge, run) in enumerate(runs)]
-    gone = spark.createDataFrame(verdict, "part int, edge int, h1 long, h2 long, s_id boolean, s_doc long, s_text long, s_pos int")
+    out = f"edge int, part int, h1 long, h2 long, has_id boolean, doc {kind}, text_hash long, pos int, n_lines int, n_docs long, rank int"
+    done = cut(src.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _runs(b, min_docs, first_stays, kind == "bigint"), out))
+    # rows of undecided runs that go, by the verdict on their run: which goes, and the row of it that stays
+    gone = stored(_verdicts(done, min_docs, first_stays), "line-verdicts")
     cols = ["has_id", "doc", "text_hash", "pos", "n_lines"]
-    open_rows = done.where("edge > 0").join(F.broadcast(gone), ["part", "edge", "h1", "h2"])
-    stays = F.expr("s_pos is not null and has_id = s_id and doc = s_doc and text_hash = s_text and pos = s_pos")
+    run = (F.col("part") == F.col("v_part")) & (F.col("edge") == F.col("v_edge")) & (F.col("h1") == F.col("v_h1")) & (F.col("h2") == F.col("v_h2"))
+    open_rows = done.where("edge > 0").join(F.broadcast(gone) if gone.count() <= FEW else gone, run)
+    stays = F.expr("stay is not null and has_id = stay.has_id and doc = stay.doc and text_hash = stay.text_hash and pos = stay.pos")
     return done.where("edge = 0").select(*cols).unionByName(open_rows.where(~stays).select(*cols))
 
 
+def _verdicts(done: DataFrame, min_docs: int, first_stays: bool) -> DataFrame:
+    """v_part, v_edge, v_h1, v_h2 of each undecided run of a line that goes, and stay: the line's first row, if it stays and is in this run.
+
+    Of a line there is one run a partition at most, so the windows are bounded by the number of partitions."""
+    known = ["has_id", "doc", "text_hash"]
+    of_rank = lambda rank, cols: F.max(F.when(F.col("rank") == rank, F.struct(*cols)))
+    runs = done.where("edge < 0").groupBy("part", "edge", "h1", "h2").agg(F.max("n_docs").alias("n"), of_rank(0, known).alias("head"), of_rank(1, known).alias("tail"), of_rank(0, [*known, "pos"]).alias("row"))
+    line = Window.partitionBy("h1", "h2")
+    inside = line.orderBy("part", F.desc("edge"))
+    # a document that a boundary cuts is in the count of both runs
+    runs = runs.withColumns({"n": F.col("n") - F.coalesce((F.lag("tail").over(inside) == F.col("head")).cast("int"), F.lit(0)), "at": F.row_number().over(inside)})
+    total = runs.withColumn("total", F.sum("n").over(line)).where(F.col("total") >= min_docs)
+    stay = F.when((F.col("at") == 1) & F.lit(first_stays), F.col("row"))
+    return total.select(F.col("part").alias("v_part"), (-F.col("edge")).alias("v_edge"), F.col("h1").alias("v_h1"), F.col("h2").alias("v_h2"), stay.alias("stay"))
+
+
 def bitmaps(gone: DataFrame) -> DataFrame:
     """has_id, doc, text_hash, keep (a zlib-compressed bitmap, first line first) of each document that loses lines."""
     one = gone.groupBy("has_id", "doc", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("pos"))
@@ -213,7 +228,7 @@ def bitmaps(gone: DataFrame) -> DataFrame:
                 out.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["m_id", "m_doc", "m_text", "keep"])
 
-    return one.mapInArrow(rows, "m_id boolean, m_doc long, m_text long, keep binary")
+    return one.mapInArrow(rows, f"m_id boolean, m_doc {_kind(gone)}, m_text long, keep binary")
 
 
 def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
@@ -256,8 +271,6 @@ def apply(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str
             cols = [text.cast(b.schema.field(at).type) if i == at else b.column(i) for i in range(n)]
             yield pa.RecordBatch.from_arrays(cols, names).filter(stay)
 
-    i = F.col(id_col)
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    cond = (i.isNotNull() == marks["m_id"]) & (F.coalesce(i.cast("long"), F.lit(0)) == marks["m_doc"]) & (text_hash == marks["m_text"])
+    cond = (df[id_col].isNotNull() == marks["m_id"]) & (_doc(df, id_col) == marks["m_doc"]) & (text_hash(df[text_col]) == marks["m_text"])
     both = df.join(marks, cond, "left").select(*[df[c] for c in names], marks["keep"].alias("__keep"))
     return both.mapInArrow(rows, df.schema)

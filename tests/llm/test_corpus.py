@@ -227,6 +227,33 @@ def test_lines_runs(spark):
         assert got == {i: want[i, t][0] - len(want[i, t][1]) for i, t in rows}
 
 
+@pytest.mark.parametrize("mode", ["all", "first"])
+def test_lines_long_runs(spark, mode):
+    """A run that is longer than a task holds at once, in one partition and in several."""
+    rows = [(i, "\n".join(["every"] * 11_000 + [f"own {i}"])) for i in range(12)]
+    want = {i: 11_000 - (mode == "first" and i == 0) for i, _ in rows}
+    for parts in (1, 5):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r["n_dropped"] for r in lines.digests(df, lines.bitmaps(lines.dropped(df, 10, 1, mode))).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == want
+
+
+@pytest.mark.parametrize("mode", ["all", "first"])
+def test_lines_ids_as_text(spark, mode):
+    """Ids that are no numbers, one of them null; runs that partition ends cut."""
+    rows = [(None if i == 5 else f"d{i:03d}", "\n".join(["every"] * (i % 3) + [f"own {i}", f"pair {i // 2}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(8)
+    want = brute_lines([(None if i is None else int(i[1:]), t) for i, t in rows], 2, mode)
+    marks = lines.bitmaps(lines.dropped(df, 2, 1, mode)).cache()
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.digests(df, marks).collect()}
+    assert got == {i: (lambda w: w[0] - len(w[1]))(want[None if i is None else int(i[1:]), t]) for i, t in rows}
+    left = {r["doc_id"]: r["text"] for r in lines.apply(df, marks, drop_emptied=False).collect()}
+    assert left == {i: b"\n".join(want[None if i is None else int(i[1:]), t][1]).decode() for i, t in rows}
+
+
 # ---- 5
 
 
