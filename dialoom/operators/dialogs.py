@@ -44,6 +44,12 @@ def with_step(df: DataFrame, key: str, order: str, role: str = "role") -> DataFr
     return df.withColumn("step", F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(_run(key, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def after_last_user(df: DataFrame, key: str, order: str, role: str = "role") -> DataFrame:
+    """after_last_user: whether a turn stands behind the dialogue's last user turn, where thinking is shown; without user turns all do."""
+    last = F.max(F.when(F.col(role) == "user", F.col(order))).over(Window.partitionBy(key))
+    return df.withColumn("after_last_user", F.coalesce(F.col(order) > last, F.lit(True)))
+
+
 def folded(df: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
     """Turns between assistant turns joined to one by line ends; strict alternation."""
     w = _run(key, order).rowsBetween(Window.unboundedPreceding, 0)

@@ -40,6 +40,12 @@ def histogram(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
     return bins.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def judge_means(df: DataFrame, dims: Sequence[str], model: str = "model") -> DataFrame:
+    """model, dim, mean, n: the mean of each dimension by each model, of those it scored; one aggregate over the rows as they are."""
+    sums = df.groupBy(model).agg(*[F.struct(F.lit(d).alias("dim"), F.round(F.avg(d), 2).alias("mean"), F.count(d).alias("n")).alias(d) for d in dims])
+    return sums.select(model, F.explode(F.array(*dims)).alias("x")).select(model, "x.*")
+
+
 def split_strata(df: DataFrame, strata: Sequence[str], split: str = "split") -> DataFrame:
     return df.groupBy(*strata).agg(F.count("*").alias("n"), F.count_if(F.col(split) == "train").alias("n_train"), F.count_if(F.col(split) == "val").alias("n_val"))
 

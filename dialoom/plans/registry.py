@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import building, dialogue, events, sampling, scoring, text  # noqa: F401, E402  they register themselves
+from . import building, called, dialogue, events, sampling, scoring, text  # noqa: F401, E402  they register themselves
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
