@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def alias(*names: str, default: str | None = None) -> Column:
     return F.coalesce(*(F.nullif(F.col(n).cast("string"), F.lit("")) for n in names), F.lit(default))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once; Spark may else make it again wherever f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def passed(verdict: Column) -> Column:
     """Of a verdict as JSON text: absent passes, a boolean is itself, an object passes if its passed is true, all else fails."""
     t = F.trim(verdict)

@@ -26,7 +26,6 @@ def _blank(c: Column) -> Column:
 
 def structural(df: DataFrame, tools: Sequence[str], id_col: str = "dialog_id") -> DataFrame:
     """dialog_id and reasons. One pass over the nested messages, no shuffle: pairing is set arithmetic inside the row."""
-    m = F.col("messages")
     at = lambda i: F.concat(F.lit("msg["), i.cast("string"), F.lit("] "))
 
     def call_reasons(c: Column, i: Column) -> Column:
@@ -49,19 +48,22 @@ def structural(df: DataFrame, tools: Sequence[str], id_col: str = "dialog_id") -
         calls = F.when(x["role"] == "assistant", F.flatten(F.transform(F.coalesce(x["tool_calls"], F.array().cast(f"array<{dialogs.CALL}>")), lambda c: call_reasons(c, i))))
         return F.concat(own, F.coalesce(calls, F.array().cast("array<string>")))
 
-    ids = F.filter(F.flatten(F.transform(F.filter(m, lambda x: (x["role"] == "assistant") & x["tool_calls"].isNotNull()), lambda x: x["tool_calls"]["id"])), lambda c: F.coalesce(c, F.lit("")) != "")
-    answers = F.filter(F.transform(F.filter(m, lambda x: x["role"] == "tool"), lambda x: x["tool_call_id"]), lambda c: F.coalesce(c, F.lit("")) != "")
-    last = F.element_at(m, -1)
-    found = F.concat(
-        reasons((~F.get(m, F.lit(0))["role"].eqNullSafe("system"), "first message is not system")),
-        F.flatten(F.transform(m, message_reasons)),
-        F.transform(F.filter(F.array_distinct(ids), lambda c: F.size(F.filter(ids, lambda d: d == c)) > 1), lambda c: F.concat(F.lit("duplicate tool_call id "), c)),
-        F.transform(F.array_except(ids, answers), lambda c: F.concat(F.lit("tool_call "), c, F.lit(" has no tool response"))),
-        F.transform(F.array_except(answers, ids), lambda c: F.concat(F.lit("tool response "), c, F.lit(" matches no tool_call id"))),
-        reasons((~F.exists(m, lambda x: x["role"].eqNullSafe("user")), "no user turns"), (~(last["role"].eqNullSafe("assistant")) | _blank(last["content"]), "does not end with non-empty assistant text")),
-    )
-    none = F.array(F.lit("messages missing or not a list"))
-    return df.select(F.col(id_col).alias("dialog_id"), F.when(F.coalesce(F.size(m), F.lit(0)) < 1, none).otherwise(found).alias("reasons"))
+    def found_in(m: Column) -> Column:
+        ids = F.filter(F.flatten(F.transform(F.filter(m, lambda x: (x["role"] == "assistant") & x["tool_calls"].isNotNull()), lambda x: x["tool_calls"]["id"])), lambda c: F.coalesce(c, F.lit("")) != "")
+        answers = F.filter(F.transform(F.filter(m, lambda x: x["role"] == "tool"), lambda x: x["tool_call_id"]), lambda c: F.coalesce(c, F.lit("")) != "")
+        last = F.element_at(m, -1)
+        found = F.concat(
+            reasons((~F.get(m, F.lit(0))["role"].eqNullSafe("system"), "first message is not system")),
+            F.flatten(F.transform(m, message_reasons)),
+            F.transform(F.filter(F.array_distinct(ids), lambda c: F.size(F.filter(ids, lambda d: d == c)) > 1), lambda c: F.concat(F.lit("duplicate tool_call id "), c)),
+            F.transform(F.array_except(ids, answers), lambda c: F.concat(F.lit("tool_call "), c, F.lit(" has no tool response"))),
+            F.transform(F.array_except(answers, ids), lambda c: F.concat(F.lit("tool response "), c, F.lit(" matches no tool_call id"))),
+            reasons((~F.exists(m, lambda x: x["role"].eqNullSafe("user")), "no user turns"), (~(last["role"].eqNullSafe("assistant")) | _blank(last["content"]), "does not end with non-empty assistant text")),
+        )
+        none = F.array(F.lit("messages missing or not a list"))
+        return F.when(F.coalesce(F.size(m), F.lit(0)) < 1, none).otherwise(found)
+
+    return df.select(F.col(id_col).alias("dialog_id"), dialogs.bound(F.col("messages"), found_in).alias("reasons"))
 
 
 def schema(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import dialogs, summary, views
+from ..operators import dialogs, summary, validate, views
 from .base import query
 
 #: Lines numbered within orders; the second one of every fifth order has no answer.
@@ -23,6 +23,13 @@ def _called(t):
     return own.select("l_orderkey", F.concat(before, F.filter(answers, lambda m: m.isNotNull()), F.array(turn("assistant", F.lit("these")))).alias("messages"))
 
 
+@query(f"""{_LINES}
+SELECT k AS l_orderkey, 'tool_call ' || k || ':2 has no tool response' AS reason FROM o WHERE short""")
+def unanswered_calls(t):
+    found = validate.structural(_called(t).withColumnRenamed("l_orderkey", "dialog_id"), ["look_up"])
+    return found.select(F.col("dialog_id").alias("l_orderkey"), F.explode("reasons").alias("reason"))
+
+
 @query(f"""{_LINES}
 SELECT k AS l_orderkey, 0 AS pos, 'system' AS role, 0 AS n_calls, 'parts' AS content, short AS refused FROM o
 UNION ALL SELECT k, 1, 'user', 0, 'which parts?', short FROM o
