@@ -68,6 +68,29 @@ def test_bounds(spark):
     assert {r["doc_id"] for r in overlap.representatives(df).collect()} == set(root) and root[1] == 0 and root[3] == 3 and len(set(root)) == 64
 
 
+def test_many_passages(spark):
+    """Passages with more frequent shingles than 2000 make no text meet another, so none is sent to be compared."""
+    texts = [" ".join([*(f"p{i % 60}.{j}" for j in range(45)), *(f"u{i}.{j}" for j in range(60))]) for i in range(840)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert overlap._met(df, 4, 5, 5, "text", 12, 1).count() == 0
+
+
+def test_prefixes():
+    """Frequent shingles stand behind the others, by rank; of n shingles the first n - ceil(0.8 n) + 1, with their places."""
+    row, place, g = overlap.prefixes(np.array([10, 0, 1, 5]), np.array([*range(10), 3, 0, 1, 2, 3, 9]), np.array([0, 1, 2, 3]), np.array([4, 3, 2, 1]), 4, 5)
+    assert row.tolist() == [0, 0, 0, 2, 3, 3] and place.tolist() == [1, 2, 3, 1, 1, 2] and g.tolist() == [4, 5, 6, 3, 9, 3]
+
+
+def test_places_rule_out(spark, monkeypatch):
+    """A shingle at the end of both prefixes leaves too little to share, so that sets are not fetched for the pair."""
+    seen = []
+    monkeypatch.setattr(overlap, "_counted", lambda pairs, *a, f=overlap._counted: (seen.append(pairs.count()), f(pairs, *a))[1])
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join([*words(f"a{i}."), *(f"s{j}" for j in range(30))])) for i in range(40)], "doc_id long, text string")
+    found = overlap.links(df, common_docs=10**6)
+    assert found.count() == 0 and seen[1] == 0
+
+
 def test_pipeline_leaves_no_near_copies(spark, docs):  # noqa: F811
     keep = docs
     for name, stage in corpus_pipeline.STAGES:
