@@ -72,12 +72,12 @@ def place(ids: list[np.ndarray], with_: tuple[np.ndarray, np.ndarray, np.ndarray
     return hilbert(np.clip(cell, 0, (1 << BITS) - 1), BITS)
 
 
-def tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str, memo: int | None = None) -> DataFrame:
     """doc_id, key (the place on the curve), n_tokens and ids (16-bit, compressed)."""
     ship(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, with_, small = encoder(tokenizer, kind), projection(), zstandard.ZstdCompressor(level=1)
+        enc, with_, small = encoder(tokenizer, kind, memo), projection(), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u2").tobytes()
         for b in slices(batches, 512):
             ids = enc.ids(byte_values(b.column(1)))
@@ -130,10 +130,10 @@ class _Packer:
         self._emit(lengths(self.held, self.most))
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int, kind: str = "word", most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of a document in a sequence."""
+def pack(df: DataFrame, tokenizer: str, end_id: int, kind: str = "word", most: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int | None = None) -> DataFrame:
+    """One row for each piece of a document in a sequence. memo: words that a worker remembers, if not the tokenizer's default."""
     spark = df.sparkSession
-    done = cut(tokenised(df, tokenizer, kind, end_id, id_col, text_col))
+    done = cut(tokenised(df, tokenizer, kind, end_id, id_col, text_col, memo))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), done.rdd.getNumPartitions())
     # the cell decides; copies and cell mates are told apart by id
     along = done.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")

@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curve.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return curve.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, memo=900_000)
 
 
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ class Encoder:
     behind a word is known by itself.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, memo: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,7 +52,7 @@ class Encoder:
             raise ValueError("special tokens of another form")
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.word, self.most = kind == "word", MEMO[kind]
+        self.word, self.most = kind == "word", memo or MEMO[kind]
         self.cut = self._words if self.word else self._spaced
         self.mark = np.zeros(1 << 16, bool)  # ids that end a word, or begin one with a space
         self.line = np.zeros(1 << 16, bool)  # ids of a line end
@@ -150,11 +150,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int | None], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One for each Python worker."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+def encoder(path: str, kind: str, memo: int | None = None) -> Encoder:
+    """One for each Python worker. memo: pieces in each of its memo's generations."""
+    if (path, kind, memo) not in _ENCODERS:
+        _ENCODERS[path, kind, memo] = Encoder(path, kind, memo)
+    return _ENCODERS[path, kind, memo]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dialoom.llm import ans, components, curve, lattice, licenses, lines, mixing, quality, queries, simhash, vectors, warc
+from dialoom.llm import ans, components, curve, lattice, licenses, lines, mixing, quality, queries, simhash, tokens, vectors, warc
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, ids string, key string, fp string, keep string, taken string, size string, word string, row string, block string"
@@ -141,6 +141,13 @@ def test_packing(docs, rows, empty):
     assert curve.pack(empty, public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_encoder_memo():
+    """A larger memo gives the same ids and learns no word twice that a smaller one has dropped."""
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} und, mehr".encode() for i in range(500)]
+    few, many = tokens.Encoder(path, "word", 4), tokens.Encoder(path, "word", 10**6)
+    assert few.ids(texts * 3) == many.ids(texts * 3) and len(few.memo) < len(many.memo) == 503
+
+
 def test_hilbert():
     grid = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = curve.hilbert(grid, 2)
