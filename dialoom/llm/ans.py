@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, new_path, scratch, ship, stored, text_of
-from .tokens import encoder
+from .common import byte_values, new_path, scratch, ship, slices, stored, text_of
+from .tokens import GROUP, encoder, forget
 
 LANES, STRIDE, SCALE, LOW = 256, 256, 20, 1 << 31
 BLOCK_IDS = 1 << 20
@@ -131,10 +131,11 @@ def _tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: st
         enc, small = encoder(tokenizer, kind), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype="<u2").tobytes()
         names, seen = ["doc_id", "tie", "ids", "seen"], np.zeros(1 << 16, "<i8")
-        for whole in batches:
+        for whole in slices(batches, 10_000):
             id_kind = whole.column(0).type
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
+            some = max(64, whole.num_rows * GROUP // max(1, whole.nbytes))
+            for k in range(0, whole.num_rows, some):
+                b = whole.slice(k, some)
                 ids = enc.ids(byte_values(b.column(1)))
                 seen += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
                 seen[end_id] += len(ids)
@@ -157,6 +158,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
     done = stored(_tokenised(df, tokenizer, kind, end_id, id_col, text_col), "ids-tokens", packed=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         big = zstandard.ZstdDecompressor()
         for b in batches:
             for raw in b.column(0).to_pylist():
@@ -174,6 +176,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "by
     names = ["part", "start", "n_ids", "doc_ids", "doc_lens", "states", "places", "words", "words_crc32", "ids_crc32"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         t, part = Table(*shared.value), TaskContext.get().partitionId()
         docs, held, size, at = [], [], 0, 0
 

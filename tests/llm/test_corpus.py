@@ -117,6 +117,23 @@ def test_ans_coder():
         assert (ans.decode(n, *ans.encode(x, t), t) == x).all()
 
 
+def test_byte_encoder():
+    """The library's ids, whatever meets at a cut; a word is learned once, whatever stands around it."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    signs = [*" \n\t\r\x0b'-.<|_19aBs", " ", "'", "ll", "re", "é", "ß", "×", "\u0301", "\u00a0", "\u2003", "\u3000", "\x1c", "\x00", "漢", "“", "²", "<|endoftext|>"]
+    texts = ["".join(rng.choices(rng.sample(signs, 9), k=rng.randint(0, 20))).encode() for _ in range(5000)]
+    texts += [bytes(rng.choices(t, k=len(t))) for t in texts if t]
+    model, few = Tokenizer.from_file(path), tokens.Encoder(path, "byte", 7)
+    want = [np.array(e.ids, "<u2").tobytes() for e in model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    assert tokens.Encoder(path, "byte").ids(texts) == want
+    assert [x for i in range(0, len(texts), 37) for x in few.ids(texts[i : i + 37])] == want
+    assert few.ids([]) == [] and few.ids([b"", b""]) == [b"", b""]
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    many = tokens.Encoder(path, "byte")
+    many.ids([f"{w}, {w}. {w}! {w}\n{w}: ({w}) {w}-{w}".encode() for w in words])
+    assert len(many.memo) == 2 * len(words) + 8  # with a blank in front and without; , . ! : ) - line end, bracket with a blank
+
+
 # ---- 1
 
 
