@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401  for the operators
-from ..storage import cut, shared_dir  # noqa: F401
+from ..storage import MADE, cut, discard, new_path, release, scratch, shared_dir, stored  # noqa: F401
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split() and bytes.strip()
 #: cut at exactly these, and bytes.lower() changes exactly A-Z.
@@ -22,46 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/dialoom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: columnar, and without the partitioning that df had. packed: its bytes are compressed already."""
-    df.write.options(**{"compression": "uncompressed"} if packed else {}).parquet(path := new_path(df.sparkSession, name))
-    scratch(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Folders that stored() and scratch() have made and that are still there.
-MADE: list[str] = []
-
-
-def _at(spark: SparkSession, path: str) -> tuple:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def scratch(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the driver ends, if nothing deletes it before."""
-    fs, at = _at(spark, path)
-    fs.deleteOnExit(at)
-    MADE.append(path)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch folders that no frame will read any more."""
-    for path in paths:
-        fs, at = _at(spark, path)
-        fs.delete(at, True)
-        MADE.remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of results that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Of the C library, where it has it.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, summary, validate
-from ..storage import cut
 from .base import query
 
 _WORDS = r"[\p{L}\p{Nl}\p{No}]+"
@@ -104,14 +103,13 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"""
 , p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT p.a, p.b, round(s / (x.n + y.n - s), 6) AS similarity FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE s / (x.n + y.n - s) >= 0.6""")
 def near_duplicate_edges(t):
-    e = dedup.jaccard_edges(cut(dedup.profiles(t("documents"), "doc_id", "text")), 0.6)
+    e = dedup.jaccard_edges(t("documents"), "doc_id", "text", 0.6)
     return e.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def near_duplicate_kept(t):
-    p = cut(dedup.profiles(t("documents"), "doc_id", "text"))
-    return dedup.greedy(dedup.jaccard_edges(p, 0.6), t("documents").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "kept", F.round("sim_max", 6).alias("sim_max"))
+    return dedup.kept_texts(t("documents"), "doc_id", "text", 0.6).select(F.col("id").alias("doc_id"), "kept", F.round("sim_max", 6).alias("sim_max"))
 
 
 @query(_GRAMS + f"""

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,34 @@ def test_streams(spark, tmp_path):
     assert [a["at"].minute for a in sorted(alerts, key=lambda a: a["at"])] == [27, 57]
     rates = run(streams.rates(read(), "at", "30 minutes", "1 minute", "key", "v < 1"), "rates", "update")
     assert sum(r["n"] for r in rates) == 61 and sum(r["n_bad"] for r in rates) == 1
+
+
+def test_near_texts_take_little_room(spark, tmp_path):
+    """No step shuffles or stores a row for each gram of each text, and groups of copies and of near copies come out whole."""
+    import random
+
+    pick = random.Random(1)
+    word = lambda: "".join(pick.choices("abcdefghij", k=6))
+    base = [word() for _ in range(60)]
+    texts = [" ".join(base[:i] + [word()] + base[i + 1:]) for i in range(0, 60, 2)] + [" ".join(base)] * 20 + ["a b c d"] * 3 + ["a b c d e", "A b c d e", "", None]
+    texts += [" ".join(word() for _ in range(400)) for _ in range(300)]
+    pick.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    grams = {i: {tuple(w[at:at + 5]) for at in range(len(w) - 4)} for i, w in ((i, (t or "").lower().split()) for i, t in enumerate(texts))}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in grams.items() for b, y in grams.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.6}
+    got = {(r["a"], r["b"]): r["similarity"] for r in dedup.jaccard_edges(df, "id", "text", 0.6).collect()}
+    assert got == want and len(want) > 600
+    kept, most = [], {}
+    for i in range(len(texts)):
+        most[i] = max((want[k, i] for k in kept if (k, i) in want), default=0.0)
+        kept += [] if most[i] else [i]
+    rows = {r["id"]: (r["kept"], r["sim_max"]) for r in dedup.kept_texts(df, "id", "text", 0.6).collect()}
+    assert rows == {i: (i in kept, most[i]) for i in range(len(texts))}
+    # what is stored of 300 texts of 400 words that are near to nothing
+    spark.sparkContext._jvm.System.gc()
+    lone = df.where(F.length("text") > 2000)
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(p.stat().st_size for p in Path(at).rglob("part-*"))
+    before = size()
+    edges = dedup.jaccard_edges(lone, "id", "text", 0.6)
+    assert edges.count() == 0 and size() - before < 100_000
