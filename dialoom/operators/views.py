@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dialogs import MESSAGE
+from .dialogs import bound
 
 
 def _args(call: Column) -> Column:
@@ -22,24 +22,30 @@ def identity(df: DataFrame) -> DataFrame:
 
 
 def one_call_a_turn(df: DataFrame) -> DataFrame:
-    """Assistant turns of k calls become k turns with a call each, its result behind it. view_error if the results are not k."""
-    m = F.col("messages")
-    none = F.array().cast(f"array<{MESSAGE}>")
+    """Assistant turns of k calls become k turns with a call each, its result behind it. view_error if the results are not k.
+
+    Messages are made once: a lambda binds them. Where all results are there, those of several turns do not overlap, so
+    what is between two such turns stays as it is, and the work is linear in a dialogue."""
     k = lambda x: F.when(x["role"] == "assistant", F.coalesce(F.size(x["tool_calls"]), F.lit(0))).otherwise(0)
 
     def single(x: Column, c: Column) -> Column:
         return F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_call_id"].alias("tool_call_id"), x["name"].alias("name"), F.array(c).alias("tool_calls"))
 
-    # how many multi-call turns reach over position i
-    owner = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))), lambda j: F.when((j < i) & (k(m[j]) > 1) & (i <= j + k(m[j])), j)), lambda j: j.isNotNull())
-
-    def out(x: Column, i: Column) -> Column:
-        many = F.flatten(F.transform(x["tool_calls"], lambda c, n: F.array(single(x, c), F.get(m, i + n + 1))))
-        taken = F.size(owner(i)) > 0
-        return F.when(k(x) > 1, many).when(taken & (x["role"] == "tool"), none).otherwise(F.array(x))
-
-    short = F.exists(F.transform(m, lambda x, i: (k(x) > 1) & (F.size(F.filter(F.slice(m, i + 2, F.greatest(k(x), F.lit(1))), lambda r: r["role"] == "tool")) != k(x))), lambda b: b)
-    return df.withColumn("view_error", F.when(short, "results do not match calls")).withColumn("messages", F.when(short, m).otherwise(F.flatten(F.transform(m, out))))
+    def split(m: Column, many: Column) -> Column:
+        """many: at (position) and k of each turn of several calls, in order."""
+        calls = lambda i: F.flatten(F.transform(m[i]["tool_calls"], lambda c, n: F.array(single(m[i], c), F.get(m, i + n + 1))))
+        behind = lambda x, n: x["at"] + x["k"] + 1
+        rest = lambda x, n: F.slice(m, behind(x, n) + 1, F.coalesce(F.get(many, n + 1)["at"], F.size(m)) - behind(x, n))
+        return F.concat(F.slice(m, F.lit(1), many[0]["at"]), F.flatten(F.transform(many, lambda x, n: F.concat(calls(x["at"]), rest(x, n)))))
+
+    def viewed(m: Column, many: Column) -> Column:
+        full = lambda x: F.size(F.filter(F.slice(m, x["at"] + 2, x["k"]), lambda r: r["role"] == "tool")) == x["k"]
+        short = F.exists(many, lambda x: ~full(x))
+        return bound(short, lambda s: F.struct(F.when(s, "results do not match calls").alias("view_error"), F.when(s | (F.size(many) == 0), m).otherwise(split(m, many)).alias("messages")))
+
+    several = lambda m: F.filter(F.transform(m, lambda x, i: F.struct(i.alias("at"), k(x).alias("k"))), lambda x: x["k"] > 1)
+    view = bound(F.col("messages"), lambda m: bound(several(m), lambda many: viewed(m, many)))
+    return df.withColumn("_view", view).withColumns({"view_error": F.col("_view.view_error"), "messages": F.col("_view.messages")}).drop("_view")
 
 
 def calls_in_content(df: DataFrame) -> DataFrame:

@@ -231,3 +231,19 @@ def test_near_texts_take_little_room(spark, tmp_path):
     before = size()
     edges = dedup.jaccard_edges(lone, "id", "text", 0.6)
     assert edges.count() == 0 and size() - before < 100_000
+
+
+def test_one_call_view_makes_messages_once(spark):
+    """Messages that are an expression are in the plan once; a long dialogue is no matter of the square of its turns."""
+    text = F.concat(F.lit("made once "), F.col("id").cast("string"))
+    turn = lambda role, i, calls: F.struct(F.lit(role).alias("role"), text.alias("content"), i.cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"), calls.cast(f"array<{dialogs.CALL}>").alias("tool_calls"))
+    call = lambda i: F.struct(i.cast("string").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.lit("{}").alias("arguments")).alias("function"))
+    none = F.lit(None)
+    asked = lambda i: F.array(turn("assistant", i, F.array(call(2 * i), call(2 * i + 1))), turn("tool", 2 * i, none), turn("tool", 2 * i + 1, none), turn("tool", i, none), turn("user", i, none))
+    df = spark.range(2).select("id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(1999)), asked)).alias("messages"))
+    seen = views.one_call_a_turn(df)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") <= 1  # none where it is folded
+    for r in seen.collect():
+        assert r["view_error"] is None and [m["role"] for m in r["messages"]] == ["assistant", "tool", "assistant", "tool", "tool", "user"] * 2000
+        assert [m["tool_calls"][0]["id"] for m in r["messages"] if m["tool_calls"]] == [str(i) for i in range(4000)]
