@@ -27,7 +27,8 @@ def _called(t):
 SELECT k AS l_orderkey, 'tool_call ' || k || ':2 has no tool response' AS reason FROM o WHERE short""")
 def unanswered_calls(t):
     found = validate.structural(_called(t).withColumnRenamed("l_orderkey", "dialog_id"), ["look_up"])
-    return found.select(F.col("dialog_id").alias("l_orderkey"), F.explode("reasons").alias("reason"))
+    # outer: else Spark filters by reasons first, and makes them thrice
+    return found.select(F.col("dialog_id").alias("l_orderkey"), F.explode_outer("reasons").alias("reason")).where("reason is not null")
 
 
 @query(f"""{_LINES}
@@ -38,7 +39,8 @@ UNION ALL SELECT k, 2 * i, 'assistant', 1, '', short FROM l JOIN o USING (k) WHE
 UNION ALL SELECT k, CASE WHEN NOT short THEN 2 * i + 1 WHEN i = 1 THEN 3 ELSE i + 1 END, 'tool', 0, 'part ' || part, short FROM l JOIN o USING (k) WHERE NOT (short AND i = 2)
 UNION ALL SELECT k, CASE WHEN short THEN n + 2 ELSE 2 * n + 2 END, 'assistant', 0, 'these', short FROM o""")
 def one_call_turns(t):
-    seen = views.one_call_a_turn(_called(t)).select("l_orderkey", F.posexplode("messages").alias("pos", "m"), F.col("view_error").isNotNull().alias("refused"))
+    # outer: else Spark filters by messages first, and makes them thrice
+    seen = views.one_call_a_turn(_called(t)).select("l_orderkey", F.posexplode_outer("messages").alias("pos", "m"), F.col("view_error").isNotNull().alias("refused")).where("pos is not null")
     return seen.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "m.role", F.coalesce(F.size("m.tool_calls"), F.lit(0)).cast("long").alias("n_calls"), "m.content", "refused")
 
 

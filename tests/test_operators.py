@@ -7,9 +7,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from dialoom.functions import text as X
 from dialoom.functions import values as V
-from dialoom.operators import convert, dedup, dialogs, sampling, validate, views
+from dialoom.operators import convert, dedup, dialogs, sampling, scoring, validate, views
+from dialoom.plans import registry
 from dialoom.sources import cache, jsonl, seeds
 from dialoom.streaming import streams
 
@@ -234,19 +236,18 @@ def test_near_texts_take_little_room(spark, tmp_path):
 
 
 def test_one_call_view_makes_messages_once(spark):
-    """Messages that are an expression are in the plan once; a long dialogue is no matter of the square of its turns."""
+    """What the query makes of its tables is in the plan once. Results beyond the calls, and many turns, stay as they were."""
+    for name in ("one_call_turns", "unanswered_calls"):
+        assert registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("which parts?") == 1
     text = F.concat(F.lit("made once "), F.col("id").cast("string"))
     turn = lambda role, i, calls: F.struct(F.lit(role).alias("role"), text.alias("content"), i.cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"), calls.cast(f"array<{dialogs.CALL}>").alias("tool_calls"))
     call = lambda i: F.struct(i.cast("string").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.lit("{}").alias("arguments")).alias("function"))
     none = F.lit(None)
     asked = lambda i: F.array(turn("assistant", i, F.array(call(2 * i), call(2 * i + 1))), turn("tool", 2 * i, none), turn("tool", 2 * i + 1, none), turn("tool", i, none), turn("user", i, none))
-    df = spark.range(2).select("id", F.flatten(F.transform(F.sequence(F.lit(0), F.col("id") * 0 + 1999), asked)).alias("messages"))
-    seen = views.one_call_a_turn(df)
-    plan = seen._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("sequence(") == 1
-    for r in seen.collect():
-        assert r["view_error"] is None and [m["role"] for m in r["messages"]] == ["assistant", "tool", "assistant", "tool", "tool", "user"] * 2000
-        assert [m["tool_calls"][0]["id"] for m in r["messages"] if m["tool_calls"]] == [str(i) for i in range(4000)]
+    df = spark.range(2).select("id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(199)), asked)).alias("messages"))
+    for r in views.one_call_a_turn(df).collect():
+        assert r["view_error"] is None and [m["role"] for m in r["messages"]] == ["assistant", "tool", "assistant", "tool", "tool", "user"] * 200
+        assert [m["tool_calls"][0]["id"] for m in r["messages"] if m["tool_calls"]] == [str(i) for i in range(400)]
 
 
 def test_fractions_of_equal_arguments_once():
@@ -258,3 +259,50 @@ def test_fractions_of_equal_arguments_once():
     a, b = ['{"a": 1}', None, '{"a": 1}', None] * 50, ['{"a": 1}', '{"a": 1}', None, None] * 50
     assert V.each_distinct(f, pd.Series(a), pd.Series(b)).tolist() == [V.argument_fraction(x, y) for x, y in zip(a, b)] and len(seen) == 4
     assert V.each_distinct(f, pd.Series([], dtype=object), pd.Series([], dtype=object)).tolist() == []
+
+
+GOLD = "gold_id long, language string, mode string, ood boolean, tools array<string>, ref array<struct<step:long,name:string,args:string>>"
+ROLL = "gold_id long, parse_ok boolean, hops_used int, fallback_parse int, answers array<string>, calls array<struct<step:long,name:string,args:string,ok:boolean,provider:string>>"
+A, B = '{"a": 1}', '{"a": 2}'
+#: ref, calls, and then strict, as a set, argument accuracy
+SCORES = [
+    ([(1, "f", A), (1, "f", B)], [(1, "f", A), (1, "f", B)], (True, True, 1.0)),
+    ([(1, "f", A), (1, "f", B)], [(1, "f", B), (1, "f", A)], (True, True, 0.0)),  # in the order in which they come
+    ([(1, "f", A), (1, "g", A)], [(1, "g", A), (1, "f", A)], (False, True, 1.0)),
+    ([(2, "f", A), (1, "g", A)], [(1, "g", A), (2, "f", A)], (True, True, 1.0)),  # other steps
+    ([(1, "f", A)], [(1, "f", A), (2, "f", A)], (False, False, 1.0)),
+    ([(None, "f", A)], [(None, "f", A)], (False, False, 0.0)),  # null is no step
+    ([(1, None, A)], [(1, None, A)], (True, True, 0.0)),
+    ([(2**60, "f", A)], [(2**60 + 1, "f", A)], (False, False, 0.0)),
+    ([], [(1, "f", A)], (False, False, None)),
+    (None, None, (False, False, None)),
+]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def scored_case(spark):
+    gold = spark.createDataFrame([(i, "en", "tool_use", False, ["f"], r) for i, (r, _, _) in enumerate(SCORES)], GOLD)
+    calls = lambda c: None if c is None else [(*x, True, "here") for x in c]
+    return gold, spark.createDataFrame([(i, True, 1, 0, ["x"], calls(c)) for i, (_, c, _) in enumerate(SCORES)], ROLL)
+
+
+def test_items_in_their_rows(spark):
+    """Items are scored without a shuffle but that of the join."""
+    got = scoring.items(*scored_case(spark))
+    assert shuffles(got) <= 2
+    assert {r["gold_id"]: (r["tool_selection_strict"], r["tool_selection_set"], r["arg_accuracy"]) for r in got.collect()} == {i: w for i, (_, _, w) in enumerate(SCORES)}
+
+
+def test_providers_in_their_rows(spark):
+    """Providers' ratios need no shuffle but that of the join and of the few sums."""
+    got = scoring.providers(*scored_case(spark))
+    assert shuffles(got) <= 3
+    assert [tuple(r) for r in got.collect()] == [("other", 12, 14, 0.5, 1.0)]
+
+
+def test_score_queries_shuffle_lines_once(spark):
+    """Lines are gathered by order once; the rollup and the providers shuffle their sums besides."""
+    assert [shuffles(registry.QUERIES[q](spark, SF)) for q in ("scored_items", "score_rollup", "provider_scores")] == [1, 2, 2]
