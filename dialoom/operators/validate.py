@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ ROLES = ("system", "user", "assistant", "tool")
 def reasons(*tests: tuple[Column, Column | str]) -> Column:
     """The texts of the tests that hold, in order."""
     said = F.array(*(F.when(hit, F.lit(why) if isinstance(why, str) else why) for hit, why in tests))
-    return F.filter(said, lambda x: x.isNotNull())
+    # mostly none holds
+    return F.when(reduce(or_, (hit for hit, _ in tests)), F.filter(said, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def _blank(c: Column) -> Column:
@@ -29,15 +32,14 @@ def structural(df: DataFrame, tools: Sequence[str], id_col: str = "dialog_id") -
     at = lambda i: F.concat(F.lit("msg["), i.cast("string"), F.lit("] "))
 
     def call_reasons(c: Column, i: Column) -> Column:
-        args = F.try_parse_json(c["function"]["arguments"])
-        return reasons(
+        return dialogs.bound(F.try_parse_json(c["function"]["arguments"]), lambda args: reasons(
             (F.coalesce(c["id"], F.lit("")) == "", F.concat(at(i), F.lit("tool_call missing id"))),
             (~c["type"].eqNullSafe("function"), F.concat(at(i), F.lit("tool_call type != function"))),
             (~F.coalesce(c["function"]["name"].isin(list(tools)), F.lit(False)), F.concat(at(i), F.lit("tool_call name not in registry: "), F.coalesce(c["function"]["name"], F.lit("null")))),
             (c["function"]["arguments"].isNull(), F.concat(at(i), F.lit("tool_call arguments not a JSON string"))),
             (c["function"]["arguments"].isNotNull() & args.isNull(), F.concat(at(i), F.lit("tool_call arguments invalid JSON"))),
             (args.isNotNull() & ~F.ltrim(c["function"]["arguments"]).startswith("{"), F.concat(at(i), F.lit("tool_call arguments not a JSON object"))),
-        )
+        ))
 
     def message_reasons(x: Column, i: Column) -> Column:
         own = reasons(
@@ -48,6 +50,13 @@ def structural(df: DataFrame, tools: Sequence[str], id_col: str = "dialog_id") -
         calls = F.when(x["role"] == "assistant", F.flatten(F.transform(F.coalesce(x["tool_calls"], F.array().cast(f"array<{dialogs.CALL}>")), lambda c: call_reasons(c, i))))
         return F.concat(own, F.coalesce(calls, F.array().cast("array<string>")))
 
+    def unmatched(ids: Column, answers: Column) -> Column:
+        return F.concat(
+            F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.transform(dialogs.bound(F.sort_array(ids), lambda o: F.array_intersect(ids, F.filter(o, lambda c, i: c == F.get(o, i + 1)))), lambda c: F.concat(F.lit("duplicate tool_call id "), c))).otherwise(F.array().cast("array<string>")),
+            F.transform(F.array_except(ids, answers), lambda c: F.concat(F.lit("tool_call "), c, F.lit(" has no tool response"))),
+            F.transform(F.array_except(answers, ids), lambda c: F.concat(F.lit("tool response "), c, F.lit(" matches no tool_call id"))),
+        )
+
     def found_in(m: Column) -> Column:
         ids = F.filter(F.flatten(F.transform(F.filter(m, lambda x: (x["role"] == "assistant") & x["tool_calls"].isNotNull()), lambda x: x["tool_calls"]["id"])), lambda c: F.coalesce(c, F.lit("")) != "")
         answers = F.filter(F.transform(F.filter(m, lambda x: x["role"] == "tool"), lambda x: x["tool_call_id"]), lambda c: F.coalesce(c, F.lit("")) != "")
@@ -55,9 +64,7 @@ def structural(df: DataFrame, tools: Sequence[str], id_col: str = "dialog_id") -
         found = F.concat(
             reasons((~F.get(m, F.lit(0))["role"].eqNullSafe("system"), "first message is not system")),
             F.flatten(F.transform(m, message_reasons)),
-            F.transform(F.filter(F.array_distinct(ids), lambda c: F.size(F.filter(ids, lambda d: d == c)) > 1), lambda c: F.concat(F.lit("duplicate tool_call id "), c)),
-            F.transform(F.array_except(ids, answers), lambda c: F.concat(F.lit("tool_call "), c, F.lit(" has no tool response"))),
-            F.transform(F.array_except(answers, ids), lambda c: F.concat(F.lit("tool response "), c, F.lit(" matches no tool_call id"))),
+            dialogs.bound(ids, lambda i: dialogs.bound(answers, lambda a: unmatched(i, a))),
             reasons((~F.exists(m, lambda x: x["role"].eqNullSafe("user")), "no user turns"), (~(last["role"].eqNullSafe("assistant")) | _blank(last["content"]), "does not end with non-empty assistant text")),
         )
         none = F.array(F.lit("messages missing or not a list"))

@@ -24,7 +24,8 @@ UNION ALL SELECT 'does not end with non-empty assistant text' FROM c WHERE z = 1
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def structural_reasons(t):
     found = validate.structural(_nested(t), [])
-    return found.select(F.explode("reasons").alias("r")).select(F.regexp_replace("r", r"^msg\[\d+\] ", "").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    # outer: else Spark filters by reasons first, and makes them thrice
+    return found.select(F.explode_outer("reasons").alias("r")).where("r is not null").select(F.regexp_replace("r", r"^msg\[\d+\] ", "").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("""
