@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import values as V
+from .dialogs import bound
 
 
 def paired(ref: DataFrame, cand: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -29,19 +32,75 @@ def selection(ref: DataFrame, cand: DataFrame, item: str, step: str, name: str,
     return both.groupBy(item).agg((F.bool_and(F.col("r0") == F.col("c0")) & (F.count("r") > 0)).alias("strict"), (F.bool_and(same_set) & (F.count("r") > 0)).alias("as_set"))
 
 
+def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of the values of both, equal for equal ones (null too), and how many there are."""
+    both = pa.concat_arrays([a, b]).dictionary_encode(null_encoding="encode")
+    at = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return at[: len(a)], at[len(a):], len(both.dictionary)
+
+
+def _ordinals(key: np.ndarray) -> np.ndarray:
+    """The how-manieth of its key each element is, from 0."""
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]]) if len(key) else np.zeros(0, np.int64)
+    out = np.empty(len(key), np.int64)
+    out[by] = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    return out
+
+
+def judged(ref: pa.Array, calls: pa.Array) -> pa.Array:
+    """Of lists of (step, name, args): what selection() says of names, and for each reference the argument fraction of the
+    candidate that paired() gives it, as fracs and as their mean. Whole batches at once; items are not taken apart by a shuffle."""
+    def parts(lists: pa.Array) -> tuple:
+        size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        return size, np.repeat(np.arange(len(lists)), size), *lists.flatten().flatten()[:3]
+
+    (nr, ir, step_r, name_r, args_r), (nc, ic, step_c, name_c, args_c) = parts(ref), parts(calls)
+    sr, sc, many = _codes(step_r, step_c)
+    xr, xc, names = _codes(name_r, name_c)
+    lost_r, lost_c = (x.is_null().to_numpy(zero_copy_only=False) for x in (step_r, step_c))
+    n = len(ref)
+    kr, kc = (ir * many + sr) * names + xr, (ic * many + sc) * names + xc
+    # no step of one side only, and the names of each alike
+    ok = (nr > 0) & (np.bincount(ir[lost_r], minlength=n) == 0) & (np.bincount(ic[lost_c], minlength=n) == 0)
+    strict, same = ok & (nr == nc), ok.copy()
+    br, bc = (np.argsort(i * many + x, kind="stable") for i, x in ((ir, sr), (ic, sc)))
+    br, bc = br[strict[ir[br]]], bc[strict[ic[bc]]]
+    strict[ir[br][kr[br] != kc[bc]]] = False
+    ur, uc = np.unique(kr), np.unique(kc)
+    same[np.setxor1d(ur, uc, assume_unique=True) // (many * names)] = False
+    # pairs of the same item, step, name and ordinal
+    able_r, able_c = np.flatnonzero(~lost_r & name_r.is_valid().to_numpy(zero_copy_only=False)), np.flatnonzero(~lost_c & name_c.is_valid().to_numpy(zero_copy_only=False))
+    key = np.unique(np.r_[kr[able_r], kc[able_c]], return_inverse=True)[1].reshape(-1)
+    wide = 1 + max(len(able_r), len(able_c))
+    qr, qc = key[: len(able_r)] * wide + _ordinals(kr[able_r]), key[len(able_r):] * wide + _ordinals(kc[able_c])
+    _, found, given = np.intersect1d(qr, qc, assume_unique=True, return_indices=True)
+    at = np.full(len(kr), -1)
+    at[able_r[found]] = able_c[given]
+    got = args_c.take(pa.array(at, pa.int64(), mask=at < 0))
+    fracs = V.each_distinct(V.argument_fraction, args_r.to_pandas(), got.to_pandas()).astype(np.float64)
+    mean = np.bincount(ir, weights=fracs, minlength=n) / np.maximum(nr, 1)
+    each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(nr)], pa.int32()), pa.array(fracs))
+    return pa.StructArray.from_arrays([pa.array(strict), pa.array(same), pa.array(mean, mask=nr == 0), each], ["strict", "as_set", "mean", "fracs"])
+
+
+def _with_judged(both: DataFrame) -> DataFrame:
+    """both(ref, calls, ...) with _judged."""
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["step"].alias("step"), x["name"].alias("name"), x["args"].alias("args")))
+    return both.withColumn("_judged", F.arrow_udf(judged, "struct<strict:boolean,as_set:boolean,mean:double,fracs:array<double>>")(bare("ref"), bare("calls")))
+
+
 def items(gold: DataFrame, rollouts: DataFrame) -> DataFrame:
-    """One row for each gold item with a rollout.
+    """One row for each gold item with a rollout; gold_id is the key of both.
 
     gold(gold_id, language, mode, ood, tools array<string>, ref array<struct<step,name,args>>),
     rollouts(gold_id, parse_ok, hops_used, fallback_parse, answers array<string>, calls array<struct<step,name,args,ok,provider>>)."""
-    g, r = gold.alias("g"), rollouts.alias("r")
-    both = g.join(r, "gold_id").select("gold_id", "g.language", "g.mode", "g.ood", "tools", "ref", "parse_ok", "hops_used", "fallback_parse", "answers", "calls")
-    flat = lambda col: both.select("gold_id", F.posexplode(col).alias("at", "x")).select("gold_id", "at", "x.*")
-    ref, cand = flat("ref"), flat("calls")
-    sel = selection(ref, cand, "gold_id", "step", "name", "at").withColumnsRenamed({"strict": "tool_selection_strict", "as_set": "tool_selection_set"})
-    pairs = paired(ref, cand, ["gold_id", "step", "name"], "at")
-    arg = pairs.withColumn("frac", V.argument_fraction_of("args", "c_args")).groupBy("gold_id").agg(F.avg("frac").alias("arg_accuracy"))
-    out = both.join(sel, "gold_id", "left").join(arg, "gold_id", "left")
+    return scored(gold.join(rollouts, "gold_id"))
+
+
+def scored(both: DataFrame) -> DataFrame:
+    """items() of the columns of both in one frame."""
+    out = _with_judged(both).withColumns({"tool_selection_strict": F.col("_judged.strict"), "tool_selection_set": F.col("_judged.as_set"), "arg_accuracy": F.col("_judged.mean")})
     n = F.size("calls")
     special = (F.col("mode") == "no_tool") | F.coalesce(F.col("ood"), F.lit(False)) | (F.col("mode") == "ood")
     no_tool, ood = F.col("mode") == "no_tool", special & (F.col("mode") != "no_tool")
@@ -71,12 +130,28 @@ def rollup(scored: DataFrame, by: str = "language") -> DataFrame:
 
 def providers(gold: DataFrame, rollouts: DataFrame) -> DataFrame:
     """For each provider the mean over items of the item's ratios, not pooled calls."""
-    both = gold.join(rollouts, "gold_id")
-    flat = lambda col: both.select("gold_id", F.posexplode(col).alias("at", "x")).select("gold_id", "at", "x.*")
-    pairs = paired(flat("ref"), flat("calls"), ["gold_id", "step", "name"], "at")
-    ref = pairs.select("gold_id", geo.provider(F.col("name")).alias("provider"), V.argument_fraction_of("args", "c_args").alias("frac"), F.lit(None).cast("boolean").alias("ok"))
-    cand = flat("calls").select("gold_id", geo.provider(F.col("name")).alias("provider"), F.lit(None).cast("double").alias("frac"), "ok")
-    per = ref.unionByName(cand).groupBy("gold_id", "provider").agg(F.count("frac").alias("ref_calls"), F.round(F.avg("frac"), 4).alias("arg_accuracy"), F.count("ok").alias("cand_calls"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("exec_ok_rate"))
+    return provider_means(gold.join(rollouts, "gold_id"))
+
+
+def provider_means(both: DataFrame) -> DataFrame:
+    """providers() of the columns of both in one frame. An item's ratios are made within its row."""
+    one = lambda name, frac, ok: F.struct(geo.provider(name).alias("provider"), frac.cast("double").alias("frac"), ok.cast("int").alias("ok"))
+    none = F.array().cast("array<struct<provider:string,frac:double,ok:int>>")
+    refs = F.transform("ref", lambda r, i: one(r["name"], F.get("_judged.fracs", i), F.lit(None)))
+    calls = F.transform("calls", lambda c: one(c["name"], F.lit(None), c["ok"]))
+
+    def ratios(x: Column, p: Column) -> Column:
+        def of(name: str) -> tuple[Column, Column]:
+            has = F.filter(x, lambda y: (y["provider"] == p) & y[name].isNotNull())
+            total = F.aggregate(has, F.lit(0.0), lambda acc, y: acc + y[name])
+            return F.size(has).cast("long"), F.when(F.size(has) > 0, F.round(total / F.size(has), 4))
+
+        (n, frac), (m, ok) = of("frac"), of("ok")
+        return F.struct(p.alias("provider"), n.alias("ref_calls"), frac.alias("arg_accuracy"), m.alias("cand_calls"), ok.alias("exec_ok_rate"))
+
+    own = bound(F.concat(F.coalesce(refs, none), F.coalesce(calls, none)), lambda x: F.transform(F.array_distinct(F.transform(x, lambda y: y["provider"])), lambda p: ratios(x, p)))
+    # outer: else Spark filters by the ratios first, and makes them thrice
+    per = _with_judged(both).select(F.explode_outer(own).alias("p")).where("p is not null").select("p.*")
     return mean_of_ratios(per, "provider", sums=("ref_calls", "cand_calls"), means=("arg_accuracy", "exec_ok_rate"))
 
 
